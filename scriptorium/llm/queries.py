@@ -6,20 +6,33 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.llm import near_dup
+from scriptorium.llm import chat, mixing, near_dup, token_ids
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_ids.token_ids(_table(spark, sf_dir, "documents"))
+
+
 def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(_table(spark, sf_dir, "conversations"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_near_dup": op2_near_dup}
+    return {"op1_token_ids": op1_token_ids, "op2_near_dup": op2_near_dup, "op5_chat": op5_chat, "op7_mixing": op7_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    rows = "SELECT doc_id, source, n_tokens::BIGINT AS n_tokens, (epochs + CASE WHEN run <= rest THEN 1 ELSE 0 END)::BIGINT AS copies FROM r WHERE epochs > 0 OR run <= rest"
+    return {"op5_chat": chat.SQL, "op7_mixing": mixing.SQL + rows}
