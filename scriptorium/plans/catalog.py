@@ -1,4 +1,8 @@
-"""The registered queries and their SQL counterparts."""
+"""The registered queries and their SQL counterparts.
+
+A query is SQL text in either dialect: Spark runs it over the Parquet files of a
+folder, DuckDB over views of the same names.
+"""
 
 from __future__ import annotations
 
@@ -6,10 +10,71 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from scriptorium.functions import markers
+from scriptorium.functions.dialect import DUCK, SPARK, Spark
+from scriptorium.plans import diff, fmt, lint, synth, vref
+from scriptorium.plans.tokens import ctes, sid
+
+Build = Callable[[Spark, Callable[[str], str]], str]
+
+
+def _docs(d: Spark, t: Callable[[str], str]) -> str:
+    return synth.usfm_docs(d, t("documents"))
+
+
+def _over_docs(make: Callable[[Spark, str], str]) -> Build:
+    return lambda d, t: make(d, _docs(d, t))
+
+
+def _tokens(select: str) -> Build:
+    return lambda d, t: f"WITH {ctes(d, _docs(d, t))} {select}"
+
+
+def _both(d: Spark, t: Callable[[str], str]) -> tuple[str, str]:
+    return _docs(d, t), synth.edited_docs(d, t("documents"))
+
+
+COLUMNS = "doc_id, idx, id, kind, text, span_start, span_end, book, chapter, verse, marker, nested, num_start, num_end, num_kind, book_code, book_valid"
+CATALOG_COLUMNS = ["canonical", "spec_kind", "category", "family", "family_role", "scope_kind", "closing", "default_attribute"]
+
+SQL: dict[str, Build] = {
+    "usfm_docs": _over_docs(lambda d, docs: docs),
+    "lex_kinds": _tokens("SELECT doc_id, kind, CAST(count(*) AS BIGINT) AS n FROM lexemes GROUP BY doc_id, kind"),
+    "tokens_basic": _tokens(f"SELECT {COLUMNS} FROM tokens"),
+    "tokens_to_usfm": lambda d, t: f"WITH {ctes(d, _docs(d, t))} SELECT doc_id, {d.joined('idx', 'text')} AS source FROM tokens GROUP BY doc_id",
+    "book_analysis": _tokens("SELECT doc_id, min(first_book) AS first_book, max(book) AS last_book FROM placed GROUP BY doc_id"),
+    "sid_fill": lambda d, t: f"WITH {ctes(d, _docs(d, t))} SELECT doc_id, {sid(d)} AS sid, CAST(count(*) AS BIGINT) AS n, CAST(min(idx) AS BIGINT) AS first_idx FROM tokens GROUP BY doc_id, {sid(d)}",
+    "vref_map": lambda d, t: f"WITH {vref.verses(d, _docs(d, t))} SELECT doc_id, ref, text FROM verses",
+    "marker_lookup": lambda d, t: f"WITH {ctes(d, _docs(d, t))}, known AS ({lint.with_catalog(d, CATALOG_COLUMNS)}) SELECT marker, {', '.join(CATALOG_COLUMNS)}, CAST(count(*) AS BIGINT) AS n FROM known WHERE marker IS NOT NULL GROUP BY marker, {', '.join(CATALOG_COLUMNS)}",
+    "marker_catalog": lambda d, t: f"SELECT * FROM {lint.dim(CATALOG_COLUMNS + ['note_family', 'note_subkind', 'inline_context', 'block_behavior', 'deprecated', 'supports_verse'])}",
+    "attr_map": _over_docs(fmt.attributes),
+    "lint": _over_docs(lint.lint),
+    "lint_summary": _over_docs(lint.summary),
+    "lint_suppress": _over_docs(lint.suppressed),
+    "sid_blocks": lambda d, t: f"WITH {diff.blocks(d, _docs(d, t))} SELECT * FROM blocks",
+    "block_diff": lambda d, t: f"WITH {diff.diffs(d, *_both(d, t))} SELECT * FROM diffs",
+    "diff_by_chapter": lambda d, t: f"WITH {diff.diffs(d, *_both(d, t))} SELECT book, chapter, status, CAST(count(*) AS BIGINT) AS n, CAST(sum(CASE WHEN is_whitespace_change THEN 1 ELSE 0 END) AS BIGINT) AS whitespace, CAST(sum(CASE WHEN is_usfm_structure_change THEN 1 ELSE 0 END) AS BIGINT) AS structure FROM diffs GROUP BY book, chapter, status",
+    "revert_block": lambda d, t: diff.reverted(d, *_both(d, t), "sid LIKE '% 1:%'"),
+    "fmt_collapse_ws": _over_docs(fmt.collapse_whitespace),
+    "fmt_collapse_lb": _over_docs(fmt.collapse_linebreaks),
+    "fmt_line_start": _over_docs(fmt.line_start_space),
+    "fmt_bridge_verses": _over_docs(fmt.bridge_verses),
+    "fmt_linebreaks": _over_docs(fmt.structural_linebreaks),
+    "fmt_default_para": _over_docs(fmt.default_paragraph),
+    "fmt_empty_para": _over_docs(fmt.remove_empty_paragraphs),
+    "fmt_recover": _over_docs(fmt.recover_markers),
+    "note_labels": _over_docs(fmt.note_labels),
+    "html_escape": lambda d, t: fmt.html_escape(d, t("pages")),
+}
+
+
+def _run(build: Build) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: spark.sql(build(SPARK, lambda name: f"parquet.`{sf_dir}/{name}.parquet`"))
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: _run(build) for name, build in SQL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: build(DUCK, lambda t: t) for name, build in SQL.items()}
