@@ -132,7 +132,7 @@ WITH t AS (
 k AS (SELECT doc_id, source, text, n_tokens, -ln(u) / w AS key FROM t),
 s AS (SELECT source, sum(n_tokens)::HUGEINT AS total, floor(sqrt(sum(n_tokens)))::HUGEINT AS share FROM k GROUP BY source),
 a AS (SELECT source, total, CASE WHEN (SELECT sum(share) FROM s) > 0 THEN ((SELECT sum(total) FROM s)::HUGEINT * share) // (SELECT sum(share) FROM s)::HUGEINT ELSE 0 END AS aim FROM s),
-p AS (SELECT source, CASE WHEN total > 0 THEN aim // total ELSE 1 END AS epochs, CASE WHEN total > 0 THEN aim % total ELSE 0 END AS rest FROM a),
+p AS (SELECT source, CASE WHEN total > 0 THEN aim // total ELSE 1 END AS epochs, CASE WHEN total > 0 THEN aim % total ELSE -1 END AS rest FROM a),
 r AS (SELECT k.*, p.epochs, p.rest, sum(n_tokens) OVER (PARTITION BY k.source ORDER BY key, doc_id NULLS FIRST, n_tokens ROWS UNBOUNDED PRECEDING) AS run
   FROM k JOIN p ON k.source IS NOT DISTINCT FROM p.source)
 """
