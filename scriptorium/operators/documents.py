@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.operators import convert, trees
+from scriptorium.operators import stack_lint as stack_rules
 from scriptorium.operators.scan import tokens
 
 
@@ -80,3 +81,28 @@ def syntax_tree(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "idx", "kind", "marker", "parent_idx", "depth"])
 
     return docs.select("doc_id", F.col("source").cast("string")).mapInArrow(run, f"doc_id {id_type}, idx int, kind string, marker string, parent_idx int, depth int")
+
+
+def stack_lint(docs: DataFrame) -> DataFrame:
+    """(doc_id, code, idx, related_idx, marker, sid): issues of the rules that need a stack."""
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, codes, at, related, markers, sids = [], [], [], [], [], []
+            for k, text in enumerate(batch.column(1).to_pylist()):
+                toks = tokens(text or "")
+                for i in stack_rules.issues(toks):
+                    rows.append(k)
+                    codes.append(i.code)
+                    at.append(i.idx)
+                    related.append(i.related_idx)
+                    markers.append(i.marker)
+                    t = toks[i.idx]
+                    sids.append(None if t.book is None else f"{t.book} {t.chapter}" if t.verse == 0 else t.sid)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(codes, pa.string()), pa.array(at, pa.int32()), pa.array(related, pa.int32()), pa.array(markers, pa.string()), pa.array(sids, pa.string())],
+                ["doc_id", "code", "idx", "related_idx", "marker", "sid"],
+            )
+
+    return docs.select("doc_id", F.col("source").cast("string")).mapInArrow(run, f"doc_id {id_type}, code string, idx int, related_idx int, marker string, sid string")

@@ -97,6 +97,7 @@ KERNELS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "html": lambda s, d: documents.to_html(_usfm(s, d)),
     "usj_to_usfm": lambda s, d: documents.from_usj(documents.to_usj(_usfm(s, d))),
     "usx_to_usfm": lambda s, d: documents.from_usx(documents.to_usx(_usfm(s, d))),
+    "lint_stack": lambda s, d: documents.stack_lint(_usfm(s, d)),
     "usx_to_usj": lambda s, d: documents.usx_to_usj(documents.to_usx(_usfm(s, d))),
 }
 
