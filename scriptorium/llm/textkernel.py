@@ -26,7 +26,7 @@ _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _powers = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
 
 #: Bytes of text that one numpy pass takes; a longer text is one pass by itself.
-PASS_BYTES = 4 << 20
+PASS_BYTES = 1 << 20
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -29,7 +29,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How text is split before pairs are merged; contractions, then letters, digits, the rest and spaces.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces whose tokens a worker remembers before it starts afresh.
-REMEMBERED = 1_500_000
+REMEMBERED = 400_000
 
 _SPACE, _LETTER, _DIGIT, _OTHER, _HARD = range(5)
 _KIND = np.full(256, _OTHER, dtype=np.uint8)

@@ -26,8 +26,8 @@ from scriptorium.llm.textkernel import HashTable, Words, mix, passes, span_hashe
 
 #: Labelled documents of each class that training reads at most.
 TRAIN_DOCS = 1000
-#: Different neighbours a form must have in toxic training documents to mark tokens; in clean ones it may have a fiftieth as many.
-MIN_CONTEXTS, CLEAN_SHARE = 12, 0.02
+#: Different neighbours, and documents, that a form must have among the toxic training documents to mark tokens; in clean ones it may have a fiftieth as many.
+MIN_CONTEXTS, MIN_DOCS, CLEAN_SHARE = 12, 10, 0.02
 #: Bytes of the openings of a word that are features, next to the word itself.
 OPENINGS = (4, 5, 6)
 #: Occurrences in training from which a word is known by itself; openings are features of other words only.
@@ -125,6 +125,8 @@ def token_labels(feats: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> np.nd
                 least = np.minimum(least, np.bincount((pair >> np.uint64(40)).astype(np.int64), minlength=len(keys)))
             inside.append(least)
         marks = (inside[0] >= MIN_CONTEXTS) & (inside[1] <= CLEAN_SHARE * inside[0]) & (keys != 0)
+        pair = np.unique(which[bad].astype(np.uint64) << np.uint64(32) | doc[bad].astype(np.uint64))
+        marks &= np.bincount((pair >> np.uint64(32)).astype(np.int64), minlength=len(keys)) >= MIN_DOCS
         out |= marks[which]
     return out & bad
 
@@ -153,8 +155,14 @@ def train(texts: list[str], toxic: list[bool]) -> Chain:
     place = np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)
     window = np.unique(doc.astype(np.int64) * (1 << 32) + place // WINDOW, return_inverse=True)[1]
     pieces = np.bincount(window)
-    keys, which, seen = np.unique(feats, return_inverse=True, return_counts=True)
-    which = which.reshape(feats.shape)
+    keys, which, seen = [], np.empty(feats.shape, dtype=np.int32), []
+    for k in range(feats.shape[1]):  # one kind at a time, for less memory
+        own, back, count = np.unique(feats[:, k], return_inverse=True, return_counts=True)
+        which[:, k] = back + sum(map(len, keys))
+        keys.append(own)
+        seen.append(count)
+    del feats, forms
+    keys, seen = np.concatenate(keys), np.concatenate(seen)
     ok = (seen >= 3) & (keys != 0)
     weight, total = np.zeros(len(keys)), np.full(len(keys), 1e-6)
     bias, bias_total = -3.0, 1e-6
@@ -162,10 +170,10 @@ def train(texts: list[str], toxic: list[bool]) -> Chain:
     later = np.flatnonzero(np.concatenate([[False], window[1:] == window[:-1]]))
     seen_turns = np.bincount(label[later - 1] * 2 + label[later], minlength=4).reshape(2, 2)
     for _ in range(ROUNDS):
-        e = bias + weight[which].sum(axis=1)
+        e = bias + sum(weight[which[:, k]] for k in range(which.shape[1]))
         r, s, odds = forward_backward(e, pieces, turn)
         gap = label - 1.0 / (1.0 + np.exp(-np.clip(odds, -50, 50)))
-        grad = np.bincount(which.ravel(), np.repeat(gap, feats.shape[1]), minlength=len(keys)) * ok - DECAY * weight
+        grad = sum(np.bincount(which[:, k], gap, minlength=len(keys)) for k in range(which.shape[1])) * ok - DECAY * weight
         total += grad**2
         weight += RATE * grad / np.sqrt(total)
         bias_total += gap.sum() ** 2
