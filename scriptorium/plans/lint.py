@@ -74,6 +74,7 @@ def issues(d: Spark, docs: str) -> str:
         "inconsistent-chapter-label": "label IS NOT NULL AND label <> main_label",
         "number-range-not-preceded-by-marker-expecting-number": f"kind = 'Number' AND coalesce(prev_sig, '') NOT IN ({', '.join(repr('Marker:' + x) for x in NUMBERED)})",
         "verse-text-follows-verse-range": f"is_verse AND coalesce(next_verse, '') NOT IN ('Text:', {', '.join(repr('Marker:' + x) for x in ('f', 'fe', 'ef', 'x', 'ex'))})",
+        "missing-id-marker": "idx = 0 AND all_ids = 0",
         "missing-milestone-self-close": "kind = 'Milestone' AND coalesce(next_attr, '') <> 'MilestoneEnd:'",
     }
     pairs = d.array(*(f"CASE WHEN {cond} THEN '{code}' END" for code, cond in codes.items()))
@@ -107,12 +108,13 @@ spread AS (SELECT doc_id, idx, in_chapter, num, row_number() OVER (PARTITION BY
 repeated AS (SELECT doc_id, idx FROM spread WHERE nth > 1 GROUP BY doc_id, idx),
 sequenced AS (SELECT v.*, {d.last("CASE WHEN is_verse THEN num_last END")} OVER (PARTITION BY v.doc_id, in_chapter ORDER BY v.idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_verse, r.idx IS NOT NULL AS repeats
   FROM versed v LEFT JOIN repeated r ON r.doc_id = v.doc_id AND r.idx = v.idx),
-labels AS (SELECT doc_id, label, count(*) AS n FROM flagged WHERE label IS NOT NULL GROUP BY doc_id, label),
-main AS (SELECT doc_id AS main_doc, label AS main_label FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, label DESC) AS r FROM labels) z WHERE r = 1),
-ready AS (SELECT s.*, main_label FROM sequenced s LEFT JOIN main ON main_doc = s.doc_id),
-token_issues AS (SELECT doc_id, idx, code, sid, marker, span_start, span_end FROM ({d.unnest("ready", f"doc_id, idx, {sid(d)} AS sid, marker, span_start, span_end", pairs, "k", "code")}) z WHERE code IS NOT NULL),
-issues AS (SELECT * FROM token_issues UNION ALL
-  SELECT doc_id, NULL, 'missing-id-marker', NULL, 'id', NULL, NULL FROM (SELECT doc_id, max(CASE WHEN kind = 'Marker' AND marker = 'id' THEN 1 ELSE 0 END) AS has FROM tokens GROUP BY doc_id) z WHERE has = 0)"""
+counted AS (SELECT *, count(label) OVER (PARTITION BY doc_id, label) AS n_label FROM sequenced),
+ready AS (SELECT *, substr(max(CASE WHEN label IS NOT NULL THEN concat(lpad(CAST(n_label AS STRING), 12, '0'), label) END) OVER (PARTITION BY doc_id), 13) AS main_label,
+    max(ids) OVER (PARTITION BY doc_id) AS all_ids FROM counted),
+found AS (SELECT * FROM ({d.unnest("ready", f"doc_id, idx, {sid(d)} AS sid, marker, span_start, span_end", pairs, "k", "code")}) z WHERE code IS NOT NULL),
+issues AS (SELECT doc_id, CASE WHEN whole THEN NULL ELSE idx END AS idx, code, CASE WHEN whole THEN NULL ELSE sid END AS sid, CASE WHEN whole THEN 'id' ELSE marker END AS marker,
+    CASE WHEN whole THEN NULL ELSE span_start END AS span_start, CASE WHEN whole THEN NULL ELSE span_end END AS span_end
+  FROM (SELECT *, code = 'missing-id-marker' AS whole FROM found) y)"""
 
 
 def lint(d: Spark, docs: str) -> str:
