@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.operators import convert, trees
+from scriptorium.operators import convert, formatting, trees
 from scriptorium.operators import stack_lint as stack_rules
 from scriptorium.operators.scan import tokens
 
@@ -106,3 +106,11 @@ def stack_lint(docs: DataFrame) -> DataFrame:
             )
 
     return docs.select("doc_id", F.col("source").cast("string")).mapInArrow(run, f"doc_id {id_type}, code string, idx int, related_idx int, marker string, sid string")
+
+
+def formatted(docs: DataFrame, only: list[str] | None = None, excluding: list[str] | None = None) -> DataFrame:
+    """(doc_id, formatted, error): documents after the format rules; the default ones, ``only`` some, or without some."""
+    rules = frozenset(only) if only is not None else formatting.DEFAULT - frozenset(excluding or [])
+    if unknown := rules - frozenset(formatting.RULES):
+        raise ValueError(f"no such format rules: {sorted(unknown)}")
+    return _each(docs, "formatted", lambda s: formatting.format_usfm(s, rules))
