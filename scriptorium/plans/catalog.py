@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions.dialect import DUCK, SPARK, Spark
 from scriptorium.operators import documents
-from scriptorium.plans import diff, fmt, lint, synth, vref
+from scriptorium.plans import diff, edits, fmt, lint, synth, vref
 from scriptorium.plans.tokens import ctes, sid
 
 Build = Callable[[Spark, Callable[[str], str]], str]
@@ -64,6 +64,7 @@ SQL: dict[str, Build] = {
     "fmt_default_para": _over_docs(fmt.default_paragraph),
     "fmt_empty_para": _over_docs(fmt.remove_empty_paragraphs),
     "fmt_recover": _over_docs(fmt.recover_markers),
+    "token_fixes": _over_docs(edits.fixed),
     "note_labels": _over_docs(fmt.note_labels),
     "html_escape": lambda d, t: fmt.html_escape(d, t("pages")),
 }
