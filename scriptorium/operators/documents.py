@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.operators import convert, formatting, trees
 from scriptorium.operators import stack_lint as stack_rules
+from scriptorium.operators.align import align
 from scriptorium.operators.scan import tokens
 
 
@@ -114,3 +115,23 @@ def formatted(docs: DataFrame, only: list[str] | None = None, excluding: list[st
     if unknown := rules - frozenset(formatting.RULES):
         raise ValueError(f"no such format rules: {sorted(unknown)}")
     return _each(docs, "formatted", lambda s: formatting.format_usfm(s, rules))
+
+
+def aligned(diffs: DataFrame) -> DataFrame:
+    """(doc_id, block_id, side, idx, text, change, counterpart) of the tokens of modified blocks of a block diff."""
+    id_type = diffs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for k, (old, new) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+                both = tokens(old), tokens(new)
+                for side, toks, pairs in zip(("original", "current"), both, align(*both)):
+                    rows += [(k, side, i, t.text, *pair) for i, (t, pair) in enumerate(zip(toks, pairs))]
+            at = pa.array([r[0] for r in rows], pa.int64())
+            types = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32())
+            columns = [pa.array([r[c] for r in rows], t) for c, t in enumerate(types, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *columns], ["doc_id", "block_id", "side", "idx", "text", "change", "counterpart"])
+
+    changed = diffs.where("status = 'Modified'").select("doc_id", "block_id", "original_text", "current_text")
+    return changed.mapInArrow(run, f"doc_id {id_type}, block_id string, side string, idx int, text string, change string, counterpart int")

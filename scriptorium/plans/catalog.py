@@ -99,6 +99,7 @@ KERNELS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "usj_to_usfm": lambda s, d: documents.from_usj(documents.to_usj(_usfm(s, d))),
     "usx_to_usfm": lambda s, d: documents.from_usx(documents.to_usx(_usfm(s, d))),
     "format": lambda s, d: documents.formatted(_usfm(s, d)),
+    "token_alignment": lambda s, d: documents.aligned(_run(SQL["block_diff"])(s, d)),
     "lint_stack": lambda s, d: documents.stack_lint(_usfm(s, d)),
     "usx_to_usj": lambda s, d: documents.usx_to_usj(documents.to_usx(_usfm(s, d))),
 }
