@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.storage import keep
+from scriptorium.llm.storage import keep, small_batches
 from scriptorium.llm.textkernel import HashTable, Words, mix, passes
 
 SHARE = 5e-5
@@ -40,21 +40,43 @@ def shapes(words: Words) -> np.ndarray:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+#: Entries that a task gathers before it adds them up and hands them on.
+GATHERED = 1 << 20
+
+
+def _added_up(parts: Iterator[tuple[np.ndarray, ...]]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Sums of counts by key, from parts (key, count, ...) of which several are gathered; what else a key has is kept."""
+
+    def merged() -> tuple[np.ndarray, ...]:
+        key, n, *more = (np.concatenate(x) for x in zip(*held))
+        key, first, back = np.unique(key, return_index=True, return_inverse=True)
+        return key, np.bincount(back, n, minlength=len(key)).astype(np.int64), *(x[first] for x in more)
+
+    held: list[tuple[np.ndarray, ...]] = []
+    size = 0
+    for part in parts:
+        held.append(part)
+        size += len(part[0])
+        if size > GATHERED:
+            yield merged()
+            held, size = [], 0
+    if held:
+        yield merged()
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        parts = []
-        for _, _, data, offsets in passes(batch.column(0)):
-            words = Words(data, offsets)
-            key, first, n = np.unique(words.hashes, return_index=True, return_counts=True)
-            parts.append((key, shapes(words)[first], n))
-        if parts:
-            key, shape, n = (np.concatenate(x) for x in zip(*parts))
-            key, first, back = np.unique(key, return_index=True, return_inverse=True)
-            n = np.bincount(back, n, minlength=len(key)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(shape[first].astype(np.int32)), pa.array(n)], ["word", "shape", "n"])
+    def parts() -> Iterator[tuple[np.ndarray, ...]]:
+        for batch in batches:
+            for _, _, data, offsets in passes(batch.column(0)):
+                words = Words(data, offsets)
+                key, first, n = np.unique(words.hashes, return_index=True, return_counts=True)
+                yield key, n, shapes(words)[first]
+
+    for key, n, shape in _added_up(parts()):
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(shape.astype(np.int32)), pa.array(n)], ["word", "shape", "n"])
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -79,21 +101,18 @@ class Vocabulary:
 def bigram_counts(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """(a, b, n): how often number b follows number a; RARE follows nothing and starts each text."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         for batch in batches:
-            keys, counts = [], []
             for _, _, data, offsets in passes(batch.column(0)):
                 words = Words(data, offsets)
                 now = vocabulary.numbers(words)
                 before = np.concatenate([[RARE], now[:-1]])
                 before[words.first[:-1][words.counts > 0]] = RARE
-                key, n = np.unique(before * vocabulary.size + now, return_counts=True)
-                keys.append(key)
-                counts.append(n)
-            if keys:
-                key, back = np.unique(np.concatenate(keys), return_inverse=True)
-                n = np.bincount(back, np.concatenate(counts), minlength=len(key)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["pair", "n"])
+                yield np.unique(before * vocabulary.size + now, return_counts=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, n in _added_up(parts(batches)):
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["pair", "n"])
 
     pairs = _texts(docs).where("text IS NOT NULL").select("text").mapInArrow(run, "pair long, n long")
     size = vocabulary.size

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.llm.storage import small_batches
 from scriptorium.llm.textkernel import _WORD, HashTable, fold, mix, passes
 
 Q = 8
@@ -217,7 +218,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> D
     not looked for; repeated rows are each searched; an empty benchmark or table
     gives no rows. Other columns are not looked at.
     """
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    src = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
     for items in _benchmark(benchmark, rate):
 
@@ -234,7 +235,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> D
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """The documents that hold no item of the benchmark, with all their columns; no shuffle."""
-    at = docs.columns.index("text")
+    at = small_batches(docs).columns.index("text")
     for items in _benchmark(benchmark, rate):
 
         def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptorium.llm.storage import keep
+from scriptorium.llm.storage import keep, small_batches
 from scriptorium.llm.textkernel import Words, mix, passes
 
 K, B, WIDTH = 80, 16, 5
@@ -97,7 +97,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, sig) of every document with an id and at least one word."""
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    src = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return src.where("id IS NOT NULL AND text IS NOT NULL").mapInArrow(_sign, "id long, sig binary")
 
 

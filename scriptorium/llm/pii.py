@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.llm.storage import small_batches
+
 KEY = b"replace-me-in-production"
 ROUNDS = 8
 
@@ -254,5 +256,5 @@ def pseudonymise_pii(docs: DataFrame, key: bytes = KEY, text_col: str = "text")
                 counts.append(sorted(found.items()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.map_(pa.string(), pa.int64()))], ["doc_id", "text", "replaced"])
 
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    src = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return src.mapInArrow(run, "doc_id long, text string, replaced map<string, bigint>")

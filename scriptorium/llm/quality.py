@@ -21,6 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.llm.storage import small_batches
 from scriptorium.llm.textkernel import utf8
 
 #: Labelled documents of each class that training reads at most.
@@ -133,5 +134,5 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
             p = model.probability(x)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.float64(), mask=null), pa.array(p, pa.float64(), mask=null), pa.array(p >= THRESHOLD, pa.bool_(), mask=null)], ["doc_id", "difference", "score", "keep"])
 
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    src = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return src.mapInArrow(run, "doc_id long, difference double, score double, keep boolean")

@@ -18,6 +18,18 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Rows of an Arrow batch where the session has Spark's default, which is meant for narrow rows; texts are long.
+BATCH_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, after lowering the rows of an Arrow batch where the session doesn't set them."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(name) == "10000":
+        df.sparkSession.conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def keep(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it again: its lineage ends there.
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.storage import keep
+from scriptorium.llm.storage import keep, small_batches
 from scriptorium.llm.textkernel import HashTable, passes, span_hashes
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -181,7 +181,7 @@ def tokenize(docs: DataFrame, path: str = VOCABULARY, id_col: str = "doc_id", te
                 packed = _binary(out, np.cumsum(counts) * out.itemsize, null)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), packed], ["doc_id", "tokens"])
 
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    src = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return src.mapInArrow(run, "doc_id long, tokens binary")
 
 

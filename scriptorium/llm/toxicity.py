@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.llm.storage import small_batches
 from scriptorium.llm.textkernel import HashTable, Words, mix, passes, span_hashes
 
 #: Labelled documents of each class that training reads at most.
@@ -254,14 +255,14 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
             found = pa.array([[{"begin": a, "end": b} for a, b in s] for s in spans], _SPANS)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array(expected), pa.array(score >= THRESHOLD), found], ["doc_id", "score", "toxic_tokens", "toxic", "spans"])
 
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    src = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return src.mapInArrow(run, "doc_id long, score double, toxic_tokens double, toxic boolean, spans array<struct<begin: int, end: int>>")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that aren't toxic, with all their columns; one pass, no shuffle."""
     chain = train(*training_rows(docs, labels))
-    at = docs.columns.index("text")
+    at = small_batches(docs).columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
