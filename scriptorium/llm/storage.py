@@ -39,13 +39,3 @@ def keep(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/scriptorium/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def forget(*tables: DataFrame) -> None:
-    """Delete what keep() wrote for these tables, once nothing reads them any more."""
-    for df in tables:
-        spark = df.sparkSession
-        for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            if "/scriptorium/" in name:
-                path = spark._jvm.org.apache.hadoop.fs.Path(name)
-                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
