@@ -1,39 +1,46 @@
 """Toxic spans by a linear-chain conditional random field.
 
 Labels are given for documents. Token labels are derived from them: a word form
-or opening that occurs between at least ``MIN_CONTEXTS`` different pairs of
-neighbours in toxic training documents (copies of one document count once, as
-theirs are the same), and in next to no clean one, marks its tokens toxic. A two-state chain is then trained
+or opening that more toxic training documents hold than chance would give it, by
+an exact test relative to the sample, and next to no clean ones, marks its tokens
+toxic. Near copies count as one document. Each language is tested by itself and
+all together, stratified, so a form needs few documents where few are labelled; a
+phrase counts as any other form, since only documents are counted. A two-state chain is then trained
 on these token labels by gradient ascent on its conditional likelihood; its
 features are word forms and openings, and its marginals, by the forward-backward
 recursion in log odds, give each document's score and the offending offsets.
 
 Training reads at most ``TRAIN_DOCS`` labelled documents of each class, chosen by
-a hash of their ids. Scoring reads every document in whole.
+a hash of their ids, as many of each language as there are or as leaves the others
+the same number. Scoring reads every document in whole.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.llm.near_dup import link, signatures
 from scriptorium.llm.storage import small_batches
 from scriptorium.llm.textkernel import HashTable, Words, mix, passes, span_hashes
 
 #: Labelled documents of each class that training reads at most.
 TRAIN_DOCS = 1000
-#: Different neighbours, and documents, that a form must have among the toxic training documents to mark tokens; in clean ones it may have a fiftieth as many.
-MIN_CONTEXTS, MIN_DOCS, CLEAN_SHARE = 12, 10, 0.02
+#: Share of falsely found forms that is expected among those that mark tokens, and share of the clean documents that may have a form, relative to that of the toxic ones.
+FALSE_SHARE, CLEAN_SHARE = 0.05, 0.02
 #: Bytes of the openings of a word that are features, next to the word itself.
 OPENINGS = (4, 5, 6)
 #: Occurrences in training from which a word is known by itself; openings are features of other words only.
 COMMON = 20
 WINDOW, ROUNDS, RATE, DECAY = 48, 30, 0.5, 1e-6
+#: Training goes on beyond ROUNDS until the tokens on the wrong side of THRESHOLD are less than this share of the toxic ones, MOST_ROUNDS at most.
+MISFIT, MOST_ROUNDS = 0.05, 300
 #: Marginal from which a token is toxic, and score from which a document is.
 THRESHOLD = 0.5
 #: A document none of whose tokens can reach this marginal has score 0.
@@ -108,33 +115,106 @@ def forward_backward(e: np.ndarray, counts: np.ndarray, turn: np.ndarray) -> tup
     return r, s, r + s
 
 
-def token_labels(feats: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Whether each token of the training documents is toxic; ``toxic`` is each document's label."""
-    word = feats[:, 0]
-    before, after = np.zeros_like(word), np.zeros_like(word)
-    same = doc[1:] == doc[:-1]
-    before[1:][same], after[:-1][same] = word[:-1][same], word[1:][same]
-    bad = toxic[doc]
+def folded(texts: list[str]) -> np.ndarray:
+    """For each text, the number of the text of whose near copies it is one."""
+    rows, sigs = [], []
+    for lo, _, data, offsets in passes(pa.array(texts, pa.large_string())):
+        row, sig = signatures(Words(data, offsets))
+        rows.append(row + lo)
+        sigs.append(sig)
+    out = np.arange(len(texts))
+    for a, b in link(np.concatenate(rows), np.concatenate(sigs)) if rows else []:
+        out[b] = a
+    return out
+
+
+def chance(bad: np.ndarray, good: np.ndarray, of_bad: np.ndarray, of_good: np.ndarray) -> np.ndarray:
+    """Log probability, for each form, that no more of its documents would be clean by chance.
+
+    ``bad`` and ``good`` are its toxic and clean documents by language (a row each),
+    ``of_bad`` and ``of_good`` all documents of each language. Within a language the
+    number of clean ones is hypergeometric; the languages' numbers are added up.
+    """
+    f = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, (of_bad + of_good).max() + 1)))])
+
+    def choose(n: int, k: np.ndarray) -> np.ndarray:
+        at = np.clip(k, 0, n)
+        return np.where(at == k, f[n] - f[at] - f[n - at], -np.inf)
+
+    total = good.sum(axis=0)
+    most = int(total.max(initial=0)) + 1
+    sums = np.full((bad.shape[1], most), -np.inf)
+    sums[:, 0] = 0.0
+    for b, g, all_b, all_g in zip(bad, good, of_bad, of_good):
+        n, clean = (b + g)[:, None], np.arange(most)[None, :]
+        own = choose(all_g, clean) + choose(all_b, n - clean) - choose(all_b + all_g, n)
+        new = np.full_like(sums, -np.inf)
+        for k in range(most):
+            new[:, k:] = np.logaddexp(new[:, k:], sums[:, : most - k] + own[:, k : k + 1])
+        sums = new
+    return np.logaddexp.accumulate(sums, axis=1)[np.arange(len(total)), total]
+
+
+def marks(bad: np.ndarray, good: np.ndarray, of_bad: np.ndarray, of_good: np.ndarray) -> np.ndarray:
+    """Which forms toxic documents have beyond chance; arguments as in chance().
+
+    The forms that too few documents have to be found at all don't count as tested
+    (Tarone); among the others the share of false ones is held at FALSE_SHARE
+    (Benjamini and Hochberg).
+    """
+    out = np.zeros(bad.shape[1], dtype=bool)
+    least = np.minimum(bad + good, of_bad[:, None])  # toxic documents, were as many toxic as can be
+    shapes, which = np.unique(np.concatenate([least, bad + good - least]), axis=1, return_inverse=True)
+    seen = shapes[len(of_bad) :].sum(axis=0) <= CLEAN_SHARE * of_good.sum()
+    best = np.zeros(shapes.shape[1])
+    best[seen] = chance(shapes[: len(of_bad), seen], shapes[len(of_bad) :, seen], of_bad, of_good)
+    best = np.sort(best[which.ravel()])
+    tested = 1
+    while np.searchsorted(best, np.log(FALSE_SHARE / tested), side="right") > tested:
+        tested += max(1, tested // 16)
+    some = np.flatnonzero((bad.sum(axis=0) >= 2) & (good.sum(axis=0) * of_bad.sum() <= CLEAN_SHARE * bad.sum(axis=0) * of_good.sum()))
+    p = chance(bad[:, some], good[:, some], of_bad, of_good)
+    order = np.argsort(p, kind="stable")
+    low = np.flatnonzero(p[order] <= np.log(FALSE_SHARE * np.arange(1, len(p) + 1) / tested))
+    if len(low):
+        out[some[order[: low[-1] + 1]]] = True
+    return out
+
+
+def token_labels(feats: np.ndarray, doc: np.ndarray, toxic: np.ndarray, copies: np.ndarray, lang: np.ndarray) -> np.ndarray:
+    """Whether each token of the training documents is toxic.
+
+    For each document, ``toxic`` is its label, ``copies`` the number of its group of
+    near copies, and ``lang`` the number of its language.
+    """
+    langs = int(lang.max()) + 1
+    kinds, kind = np.unique(np.column_stack([copies, lang, toxic]), axis=0, return_inverse=True)
+    kind = kind.ravel()
+    of = np.bincount(kinds[:, 1] * 2 + kinds[:, 2], minlength=2 * langs).reshape(langs, 2)
+    ways = [[k] for k in range(langs)] + [list(range(langs))] * (langs > 1)
     out = np.zeros(len(feats), dtype=bool)
     for k in range(feats.shape[1]):
         keys, which = np.unique(feats[:, k], return_inverse=True)
-        inside = []
-        for side in (bad, ~bad):
-            least = np.full(len(keys), len(feats))
-            for neighbour in (before, after):
-                pair = np.unique(which[side].astype(np.uint64) << np.uint64(40) | (neighbour[side] >> np.uint64(24)))
-                least = np.minimum(least, np.bincount((pair >> np.uint64(40)).astype(np.int64), minlength=len(keys)))
-            inside.append(least)
-        marks = (inside[0] >= MIN_CONTEXTS) & (inside[1] <= CLEAN_SHARE * inside[0]) & (keys != 0)
-        pair = np.unique(which[bad].astype(np.uint64) << np.uint64(32) | doc[bad].astype(np.uint64))
-        marks &= np.bincount((pair >> np.uint64(32)).astype(np.int64), minlength=len(keys)) >= MIN_DOCS
-        out |= marks[which]
-    return out & bad
-
-
-def train(texts: list[str], toxic: list[bool]) -> Chain:
-    """Fit a chain; without toxic training documents it finds nothing toxic."""
+        pair = np.unique(which.astype(np.uint64) << np.uint64(32) | kind[doc].astype(np.uint64))
+        form, group = (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        cell = kinds[group, 1] * 2 + kinds[group, 2]
+        count = np.bincount(form * 2 * langs + cell, minlength=len(keys) * 2 * langs).reshape(len(keys), langs, 2)
+        count[keys == 0] = 0
+        for way in ways:
+            bad, good = count[:, way, 1].T, count[:, way, 0].T
+            own = np.flatnonzero(marks(bad, good, of[way, 1], of[way, 0]))
+            found = np.zeros((len(keys), langs), dtype=bool)
+            found[np.ix_(own, way)] = True
+            out |= found[which, lang[doc]]
+    return out & toxic[doc]
+
+
+def train(texts: list[str], toxic: list[bool], lang: list[str | None] | None = None) -> Chain:
+    """Fit a chain; without toxic training documents, or a form that tells them from clean ones, it finds nothing toxic."""
     turn = np.zeros((2, 2))
+    if lang is None:
+        lang = [None] * len(texts)
+    langs = np.unique([x or "" for t, x in zip(texts, lang) if t], return_inverse=True)[1]
     pairs = [(t, x) for t, x in zip(texts, toxic) if t]
     nothing = np.zeros(0, dtype=np.uint64)
     none = Chain(nothing, np.zeros(0), nothing, -12.0, turn)
@@ -150,8 +230,9 @@ def train(texts: list[str], toxic: list[bool]) -> Chain:
     forms, which, seen = np.unique(feats[:, 0], return_inverse=True, return_counts=True)
     common = forms[seen >= COMMON]
     feats[seen[which] >= COMMON, 1:] = 0
-    label = token_labels(feats, doc, np.array([bool(x) for _, x in pairs]))
+    label = token_labels(feats, doc, np.array([bool(x) for _, x in pairs]), folded([t for t, _ in pairs]), langs)
     if not label.any():
+        warnings.warn("no word form tells toxic training documents from clean ones; nothing will be found toxic", stacklevel=2)
         return none
     place = np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)
     window = np.unique(doc.astype(np.int64) * (1 << 32) + place // WINDOW, return_inverse=True)[1]
@@ -170,10 +251,12 @@ def train(texts: list[str], toxic: list[bool]) -> Chain:
     turn_total = np.full((2, 2), 1e-6)
     later = np.flatnonzero(np.concatenate([[False], window[1:] == window[:-1]]))
     seen_turns = np.bincount(label[later - 1] * 2 + label[later], minlength=4).reshape(2, 2)
-    for _ in range(ROUNDS):
+    for turns in range(MOST_ROUNDS):
         e = bias + sum(weight[which[:, k]] for k in range(which.shape[1]))
         r, s, odds = forward_backward(e, pieces, turn)
         gap = label - 1.0 / (1.0 + np.exp(-np.clip(odds, -50, 50)))
+        if turns >= ROUNDS and (np.abs(gap) > 1 - THRESHOLD).sum() <= MISFIT * label.sum():
+            break
         grad = sum(np.bincount(which[:, k], gap, minlength=len(keys)) for k in range(which.shape[1])) * ok - DECAY * weight
         total += grad**2
         weight += RATE * grad / np.sqrt(total)
@@ -189,16 +272,18 @@ def train(texts: list[str], toxic: list[bool]) -> Chain:
     return Chain(keys[strong], weight[strong], common, float(bias), turn)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[bool]]:
-    """Texts and labels of the bounded training sample."""
+def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[bool], list[str | None]]:
+    """Texts, labels and languages of the bounded training sample; without a column lang there is one language."""
     tagged = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic")).where("id IS NOT NULL AND toxic IS NOT NULL")
     tagged = tagged.groupBy("id").agg(F.max("toxic").alias("toxic"))
-    chosen = [tagged.where(c).orderBy(F.xxhash64("id"), "id").limit(TRAIN_DOCS) for c in ("toxic = 1", "toxic = 0")]
-    chosen = chosen[0].unionAll(chosen[1])
-    src = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
-    rows = src.join(F.broadcast(chosen), "id").select("id", "text", "toxic").collect()  # 2 * TRAIN_DOCS ids at most
-    rows = sorted(dict.fromkeys((r["id"], r["text"], r["toxic"]) for r in rows))
-    return [r[1] for r in rows], [r[2] == 1 for r in rows]
+    src = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), (F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")).alias("lang")).where("text IS NOT NULL")
+    known = src.select("id", "lang").join(tagged.where("toxic IN (0, 1)"), "id").groupBy("id").agg(F.max("toxic").alias("toxic"), F.min("lang").alias("lang"))
+    known = known.withColumn("nth", F.row_number().over(Window.partitionBy("toxic", "lang").orderBy(F.xxhash64("id"), "id"))).where(F.col("nth") <= TRAIN_DOCS)
+    chosen = [known.where(c).orderBy("nth", F.xxhash64("id"), "id").limit(TRAIN_DOCS) for c in ("toxic = 1", "toxic = 0")]
+    chosen = chosen[0].unionAll(chosen[1]).select("id", "toxic")
+    rows = src.join(F.broadcast(chosen), "id").select("id", "text", "toxic", "lang").collect()  # 2 * TRAIN_DOCS ids at most
+    rows = sorted({(r["id"], r["text"], r["toxic"]): r["lang"] for r in sorted(rows, key=lambda r: r["lang"] or "")}.items())
+    return [r[1] for r, _ in rows], [r[2] == 1 for r, _ in rows], [x for _, x in rows]
 
 
 def score_texts(column: pa.Array, chain: Chain) -> tuple[np.ndarray, np.ndarray, list[list[tuple[int, int]]]]:

@@ -255,6 +255,46 @@ def test_toxicity_tables(spark):
     assert toxicity.toxicity(docs(spark, []), labels).count() == 0
 
 
+def test_toxicity_with_few_labels_and_a_minority_language(spark):
+    rng = random.Random(8)
+    vowels = {"en": "aeiou", "es": "áéíóú"}
+
+    def text(lang, marks=()):
+        w = ["".join(rng.choice("bcdfglmnprst") + rng.choice(vowels[lang]) for _ in range(rng.randint(1, 3))) for _ in range(60)]
+        for m in marks:
+            w.insert(rng.randrange(len(w)), m)
+        return " ".join(w)
+
+    rows = [(text("en"), "en", 0) for _ in range(300)] + [(text("en", ["vile", "scum"]), "en", 1) for _ in range(40)]
+    rows += [(text("es"), "es", 0) for _ in range(60)] + [(text("es", ["quítate de ahí"]), "es", 1) for _ in range(6)]
+    few = [text("en") for _ in range(40)], [text("en", ["vile"]) for _ in range(5)]
+    chain = toxicity.train(few[0] + few[1], [False] * 40 + [True] * 5)
+    assert (toxicity.score_texts(pa.array(few[1] + [text("en", ["vile"])]), chain)[0] >= 0.5).all()
+    assert not (toxicity.score_texts(pa.array(few[0]), chain)[0] >= 0.5).any()
+    table = spark.createDataFrame([(k, t, x) for k, (t, x, _) in enumerate(rows)] + [(1000, text("es", ["quítate de ahí"]), "es"), (1001, text("es"), "es")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, y) for k, (_, _, y) in enumerate(rows)], "doc_id long, toxic int")
+    found = {r["doc_id"] for r in toxicity.toxicity(table, labels).where("toxic").collect()}
+    assert found == {k for k, r in enumerate(rows) if r[2]} | {1000}
+
+
+def test_copies_and_chance_mark_nothing():
+    rng = random.Random(9)
+    text = lambda: " ".join("".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(3)) for _ in range(60))
+    copy = text() + " zorkish zorkish zorkish"
+    with pytest.warns(UserWarning):
+        chain = toxicity.train([text() for _ in range(90)] + [copy + f" {k}" for k in range(9)] + [text()], [False] * 90 + [True] * 10)
+    assert not (toxicity.score_texts(pa.array([copy, text()]), chain)[0] >= 0.5).any()
+
+
+def test_chance_is_the_exact_test():
+    of_bad, of_good = np.array([3, 2]), np.array([4, 5])
+    bad, good = np.array([[2], [1]]), np.array([[1], [0]])
+    ways = [math.comb(4, x) * math.comb(3, 3 - x) / math.comb(7, 3) for x in range(4)]
+    more = [math.comb(5, y) * math.comb(2, 1 - y) / math.comb(7, 1) for y in range(2)]
+    want = sum(ways[x] * more[y] for x in range(4) for y in range(2) if x + y <= 1)
+    assert math.exp(toxicity.chance(bad, good, of_bad, of_good)[0]) == pytest.approx(want)
+
+
 # ---- PII
 
 
