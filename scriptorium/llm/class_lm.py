@@ -1,10 +1,13 @@
 """Language-model scoring by a Brown class-based bigram model.
 
-Words whose share of the corpus is at least ``SHARE`` form the vocabulary; so it
-has at most 1 / SHARE words, however large the corpus is. All others belong to
-``RARE`` shape classes by their last two bytes. The exchange algorithm assigns the
-vocabulary's words to ``CLASSES`` classes: in turn, each word goes to the class
-that raises the likelihood of the corpus most. The model is
+The vocabulary has every word that occurs ``LEAST`` times, so it grows with the
+corpus. Its frequent words, those whose share of the corpus is at least ``SHARE``,
+are assigned to ``CLASSES`` classes by the exchange algorithm: in turn, each word
+goes to the class that raises the likelihood of the corpus most. Each other word
+of the vocabulary then goes to the one of these classes under which its
+occurrences, with the classes of their neighbours, are likeliest. The words that
+are rarer than that belong to ``RARE`` shape classes by their last two bytes. The
+model is
 
     p(w | v) = p(class(w) | class(v)) * p(w | class(w))
 
@@ -27,6 +30,7 @@ from scriptorium.llm.storage import keep, small_batches
 from scriptorium.llm.textkernel import HashTable, Words, mix, passes
 
 SHARE = 5e-5
+LEAST = 5
 CLASSES = 48
 RARE = 16
 ROUNDS = 3
@@ -86,7 +90,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 class Vocabulary:
-    """Word numbers: the shape classes first, then one for the start of a text, then the vocabulary."""
+    """Word numbers: the shape classes first, then one for the start of a text, then the frequent words."""
 
     def __init__(self, keys: np.ndarray):
         self.keys = keys
@@ -173,20 +177,150 @@ def exchange(a: np.ndarray, b: np.ndarray, n: np.ndarray, size: int, classes: in
     return of
 
 
+@dataclass
+class Tail:
+    """The vocabulary's other words: hashes in order, their classes and counts."""
+
+    keys: np.ndarray
+    of: np.ndarray
+    n: np.ndarray
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Row of each hash, -1 where it is absent."""
+        if not len(self.keys):
+            return np.full(len(hashes), -1)
+        row = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        return np.where(self.keys[row] == hashes, row, -1)
+
+
+def _befores(words: Words, of_each: np.ndarray) -> np.ndarray:
+    """What stands before each word, RARE at the start of a text."""
+    before = np.concatenate([[RARE], of_each[:-1]])
+    before[words.first[:-1][words.counts > 0]] = RARE
+    return before
+
+
+def assign(docs: DataFrame, vocabulary: Vocabulary, first: Model) -> Tail:
+    """The class of each word that has LEAST occurrences and isn't frequent.
+
+    Each occurrence gives a byte for its left neighbour's class and one for its
+    right one's; a word's bytes meet in one task.
+    """
+    k = len(first.transition)
+    free = np.arange(RARE + 1, k)
+    width = 2 * k
+    wide = np.uint8 if width <= 256 else np.uint16
+    weight = np.concatenate([first.transition[:, free], first.transition[free].T])
+    size = first.inside[free]
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for batch in batches:
+            for _, _, data, offsets in passes(batch.column(0)):
+                words = Words(data, offsets)
+                now = vocabulary.numbers(words)
+                c = first.of[now]
+                before, follows = _befores(words, c), words.next_in_text()
+                at = np.flatnonzero(now < RARE)
+                next_ = at[at < len(now) - 1]
+                next_ = next_[follows[next_]]
+                yield np.concatenate([words.hashes[at], words.hashes[next_]]), np.concatenate([before[at], k + c[next_ + 1]]).astype(wide)
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def merged() -> pa.RecordBatch:
+            word, code = (np.concatenate(x) for x in zip(*held))
+            order = np.argsort(word)
+            word, code = word[order], code[order]
+            begin = np.flatnonzero(np.concatenate([np.ones(min(1, len(word)), dtype=bool), word[1:] != word[:-1]]))
+            ends = (np.append(begin, len(word)) * code.itemsize).astype(np.int32)
+            column = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(code.tobytes())])
+            return pa.RecordBatch.from_arrays([pa.array(word[begin].view(np.int64)), column], ["word", "near"])
+
+        held, gathered_ = [], 0
+        for part in parts(batches):
+            held.append(part)
+            gathered_ += len(part[0])
+            if gathered_ > GATHERED:
+                yield merged()
+                held, gathered_ = [], 0
+        if held:
+            yield merged()
+
+    def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def chosen(word: np.ndarray, near: np.ndarray) -> pa.RecordBatch:
+            n = near[:, :k].sum(axis=1)
+            word, near, n = word[n >= LEAST], near[n >= LEAST], n[n >= LEAST]
+            score = near @ weight + n[:, None] * (np.log(n + 1.0)[:, None] - np.log(size[None, :] + n[:, None] + 1.0))
+            of = free[score.argmax(axis=1)] if len(word) else np.zeros(0, dtype=np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(word), pa.array(of.astype(np.int16)), pa.array(n.astype(np.int64))], ["word", "of", "n"])
+
+        last, rest = np.zeros(0, dtype=np.int64), np.zeros((0, width))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            word = batch.column(0).to_numpy()
+            own = batch.column(1)
+            off = np.frombuffer(own.buffers()[1], dtype=np.int32, count=own.offset + len(own) + 1)[own.offset :].astype(np.int64)
+            code = np.frombuffer(own.buffers()[2], dtype=np.uint8, count=off[-1])[off[0] :].view(wide)
+            begin = np.concatenate([[True], word[1:] != word[:-1]])
+            row = np.repeat(np.cumsum(begin) - 1, np.diff(off) // code.itemsize)
+            word = word[begin]
+            near = np.bincount(row * width + code, minlength=len(word) * width).reshape(len(word), width).astype(np.float64)
+            if len(last) and last[0] == word[0]:
+                near[0] += rest[0]
+            elif len(last):
+                word, near = np.concatenate([last, word]), np.concatenate([rest, near])
+            last, rest = word[-1:], near[-1:]
+            yield chosen(word[:-1], near[:-1])
+        yield chosen(last, rest)
+
+    near = _texts(docs).where("text IS NOT NULL").select("text").mapInArrow(gathered, "word long, near binary")
+    rows = near.repartition("word").sortWithinPartitions("word").mapInArrow(classes, "word long, of short, n long").toArrow()
+    keys = rows.column("word").to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    return Tail(keys[order], rows.column("of").to_numpy()[order], rows.column("n").to_numpy()[order])
+
+
+def class_counts(docs: DataFrame, vocabulary: Vocabulary, of: np.ndarray, tail: Tail, k: int) -> np.ndarray:
+    """How often each class follows each, over the whole corpus."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grid = np.zeros(k * k, dtype=np.int64)
+        for batch in batches:
+            for _, _, data, offsets in passes(batch.column(0)):
+                words = Words(data, offsets)
+                c = of[vocabulary.numbers(words)]
+                row = tail.find(words.hashes)
+                c[row >= 0] = tail.of[row[row >= 0]]
+                grid += np.bincount(_befores(words, c) * k + c, minlength=k * k) if len(c) else 0
+        at = np.flatnonzero(grid)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(grid[at])], ["pair", "n"])
+
+    pairs = _texts(docs).where("text IS NOT NULL").select("text").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    out = np.zeros(k * k)
+    for r in pairs.collect():
+        out[r["pair"]] = r["n"]
+    return out.reshape(k, k)
+
+
 @dataclass
 class Model:
     vocabulary: Vocabulary
     of: np.ndarray
     transition: np.ndarray  # natural logarithms, [class before, class]
     emission: np.ndarray  # natural logarithms, by word number
+    inside: np.ndarray  # occurrences of each class's words and one more for each word
+    tail: Tail | None = None
 
     def score(self, words: Words) -> np.ndarray:
         """Sum of log probabilities of each text's words."""
         now = self.vocabulary.numbers(words)
-        c = self.of[now]
-        before = np.concatenate([[RARE], c[:-1]])
-        before[words.first[:-1][words.counts > 0]] = RARE
-        each = self.transition[before, c] + self.emission[now]
+        c, each = self.of[now], self.emission[now]
+        if self.tail is not None:
+            row = self.tail.find(words.hashes)
+            at = np.flatnonzero(row >= 0)
+            c[at] = self.tail.of[row[at]]
+            each[at] = np.log(self.tail.n[row[at]] + 1.0) - np.log(self.inside[c[at]])
+        each = self.transition[_befores(words, c), c] + each
         total = np.concatenate([[0.0], np.cumsum(each)])
         return total[words.first[1:]] - total[words.first[:-1]]
 
@@ -194,33 +328,42 @@ class Model:
 def fit(docs: DataFrame, share: float = SHARE, classes: int = CLASSES) -> Model:
     """Count the corpus, cluster the vocabulary and estimate the model.
 
-    The driver gets the vocabulary, at most 1 / share words, and the counts of
-    pairs of it; both are bounded by the parameter, not by the corpus.
+    The driver gets the frequent words, at most 1 / share, and the counts of
+    pairs of them; and, for sending them to every task, 18 bytes for each other word
+    that occurs LEAST times.
     """
     counts = keep(word_counts(docs))
     total = counts.agg(F.sum("n")).first()[0] or 0
     rows = counts.where(F.col("n") >= share * total).orderBy(F.desc("n"), "word").collect()
-    kept = F.col("n") < share * total
+    rare = (F.col("n") < share * total) & (F.col("n") < LEAST)
     types = np.ones(RARE)
-    for r in counts.where(kept).groupBy("shape").agg(F.count("*").alias("types")).collect():
+    for r in counts.where(rare).groupBy("shape").agg(F.count("*").alias("types")).collect():
         types[r["shape"]] = r["types"]
     vocabulary = Vocabulary(np.array([r["word"] for r in rows], dtype=np.int64))
     pairs = bigram_counts(docs, vocabulary).orderBy("a", "b").toArrow()
     a, b, n = (pairs.column(c).to_numpy() for c in ("a", "b", "n"))
     of = exchange(a, b, n, vocabulary.size, classes)
-    return estimate(vocabulary, of, a, b, n, types, RARE + 1 + classes)
+    k = RARE + 1 + classes
+    first = estimate(vocabulary, of, a, b, n, types, k)
+    tail = assign(docs, vocabulary, first)
+    if not len(tail.keys):
+        return first
+    return estimate(vocabulary, of, a, b, n, types, k, tail, class_counts(docs, vocabulary, of, tail, k))
 
 
-def estimate(vocabulary: Vocabulary, of: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray, types: np.ndarray, k: int) -> Model:
-    grid = np.bincount(of[a] * k + of[b], n, minlength=k * k).reshape(k, k) + 1.0
+def estimate(vocabulary: Vocabulary, of: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray, types: np.ndarray, k: int, tail: Tail | None = None, follow: np.ndarray | None = None) -> Model:
+    """The model from the counts of pairs; with a tail, ``follow`` has the counts of pairs of classes."""
+    grid = (np.bincount(of[a] * k + of[b], n, minlength=k * k).reshape(k, k) if follow is None else follow) + 1.0
     grid[:, RARE] = 0  # no word is the start of a text
     transition = np.log(np.where(grid > 0, grid / grid.sum(axis=1, keepdims=True), 1.0))
     seen = np.bincount(b, n, minlength=vocabulary.size) + 1.0
     inside = np.bincount(of, seen, minlength=k)
+    if tail is not None:
+        inside = inside + np.bincount(tail.of, tail.n + 1.0, minlength=k)
     emission = np.log(seen / inside[of])
     emission[:RARE] = -np.log(types)
     emission[RARE] = 0.0
-    return Model(vocabulary, of, transition, emission)
+    return Model(vocabulary, of, transition, emission, inside, tail)
 
 
 def perplexity(docs: DataFrame, share: float = SHARE, classes: int = CLASSES) -> DataFrame:

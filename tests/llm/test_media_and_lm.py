@@ -162,3 +162,38 @@ def test_perplexity_against_brute_force(spark):
             before = c
         assert out[k]["log_prob"] == pytest.approx(lp) and out[k]["perplexity"] == pytest.approx(math.exp(-lp / len(x)))
     assert class_lm.perplexity(df.limit(0)).count() == 0
+
+
+def test_words_below_the_share_keep_counts_and_get_classes(spark):
+    rng = random.Random(4)
+    animals, verbs = ["cat", "dog", "cow"], ["sees", "runs", "eats"]
+    texts = [" ".join(w for _ in range(10) for w in (rng.choice(animals), rng.choice(verbs))) for _ in range(100)]
+    texts += ["cat sees lynx runs dog eats"] * 25 + ["cow runs wolx eats cat sees"] * 6 + ["dog naps cow runs"] * 7 + ["cat onlx sees"] * 4
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    model = class_lm.fit(df, 0.05, 2)
+
+    def words(text):
+        return next(Words(data, offsets) for _, _, data, offsets in passes(pa.array([text])))
+
+    rows = model.tail.find(words("lynx wolx naps onlx").hashes).tolist()
+    assert rows[3] == -1 and [int(model.tail.n[r]) for r in rows[:3]] == [25, 6, 7] and len(model.tail.keys) == 3
+    of = model.of[model.vocabulary.numbers(words("cat sees"))]
+    assert [int(model.tail.of[r]) for r in rows[:3]] == [of[0], of[0], of[1]]
+    score = {t: model.score(words(t))[0] for t in ("sees lynx runs", "sees wolx runs", "sees cat runs")}
+    assert score["sees lynx runs"] - score["sees wolx runs"] == pytest.approx(math.log(26 / 7))
+    total = Counter(w for t in texts for w in t.split())
+    assert score["sees cat runs"] - score["sees lynx runs"] == pytest.approx(math.log((total["cat"] + 1) / 26))
+    for c in set(of.tolist()):
+        p = np.exp(model.emission[class_lm.RARE + 1 :][model.of[class_lm.RARE + 1 :] == c]).sum()
+        assert p + ((model.tail.n + 1) / model.inside[c])[model.tail.of == c].sum() == pytest.approx(1)
+    follow, before = Counter(), Counter()
+    for t in texts:
+        w = words(t)
+        x, r = model.of[model.vocabulary.numbers(w)], model.tail.find(w.hashes)
+        x[r >= 0] = model.tail.of[r[r >= 0]]
+        for p, q in zip([class_lm.RARE, *x.tolist()], x.tolist()):
+            follow[p, q] += 1
+            before[p] += 1
+    k = len(model.transition)
+    for (p, q), n in follow.items():
+        assert model.transition[p, q] == pytest.approx(math.log((n + 1) / (before[p] + k - 1)))
