@@ -1,8 +1,11 @@
 """Near-duplicate groups by MinHash and a multi-index Hamming join.
 
 A document's features are its words of at least ``LONG`` bytes, its pairs of
-neighbouring words with such a word among them, and its pairs of a word with
-itself; where it has none of these, all its words and pairs. The n-th occurrence
+neighbouring words with such a word among them, its pairs of a word with itself,
+and, for each other pair, the three words that begin with it (at the end of a
+text, that end with it). So every word is in a feature, but none is as common as
+short words and their pairs are, which unrelated texts share. A text of one or
+two short words has these and their pair. The n-th occurrence
 of a feature is a feature of its own, so repeats count. ``K`` minima over the
 features, ``B`` bits kept of each, are the signature. The distance of two
 signatures is the number of places in which they differ; J = 1 - distance / K
@@ -50,12 +53,18 @@ def features(words: Words) -> tuple[np.ndarray, np.ndarray]:
     same = words.next_in_text()
     pair = mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + (h[1:] ^ np.uint64(0x632BE59BD9B4E019)))
     pair_ok = same & (long[:-1] | long[1:] | (h[:-1] == h[1:]))
+    short = np.flatnonzero(same & ~pair_ok)
+    inner = np.append(same, False)
+    three = np.where(inner[short + 1], short, short - 1)
+    three = three[inner[three]]  # at -1 inner is False
+    triple = mix(pair[three] * np.uint64(0xC2B2AE3D27D4EB4F) + (h[three + 2] ^ np.uint64(0x165667B19E3779F9)))
     some = np.zeros(len(words.counts), dtype=bool)
     some[doc[long]] = True
     some[doc[:-1][pair_ok]] = True
+    some[doc[three]] = True
     bare = ~some[doc]
-    feats = np.concatenate([h[long | bare], pair[pair_ok | (same & bare[:-1])]])
-    where = np.concatenate([doc[long | bare], doc[:-1][pair_ok | (same & bare[:-1])]])
+    feats = np.concatenate([h[long | bare], pair[pair_ok | (same & bare[:-1])], triple])
+    where = np.concatenate([doc[long | bare], doc[:-1][pair_ok | (same & bare[:-1])], doc[three]])
     order = np.argsort(mix(where.astype(np.uint64) + np.uint64(1)) ^ feats)
     feats, where = feats[order], where[order]
     run = np.flatnonzero(np.concatenate([[True], (feats[1:] != feats[:-1]) | (where[1:] != where[:-1])]))

@@ -90,6 +90,26 @@ def test_groups_against_brute_force(spark):
     assert left.columns == df.columns
 
 
+def test_texts_of_short_words_are_compared_in_whole(spark):
+    rng = random.Random(6)
+    header = "measured values of pressure by station number"
+    table = lambda: [str(rng.randrange(10**5)) for _ in range(2000)]
+    prose = lambda: [rng.choice("the cat sat on a mat and saw how an old dog ran to us".split()) + rng.choice("abcdefgh") for _ in range(150)]
+    numbers, words, other = table(), prose(), prose()
+    texts = [f"{header} {' '.join(numbers)}", f"{header} {' '.join(table())}", f"other heading words entirely {' '.join(numbers)}"]
+    texts += [" ".join(words + ["so", "so"]), " ".join(other + ["so", "so"]), " ".join(words[:70] + ["not"] + words[71:])]
+    df = spark.createDataFrame([(k, t, None) for k, t in enumerate(texts)], SCHEMA)
+    assert {r["doc_id"]: r["keeper_id"] for r in near_dup.near_duplicates(df).collect()} == {2: 0, 5: 3}
+
+
+@pytest.mark.parametrize("text, count", [("of", 1), ("of it", 3), ("of it is", 2), ("of it is so", 3), ("of it station", 3), ("of of", 1), ("station of it", 3)])
+def test_every_word_is_in_a_feature(text, count):
+    for rows in ([text], [text, "is a", text], ["", text]):
+        for _, _, data, offsets in passes(pa.array(rows)):
+            got = near_dup.features(Words(data, offsets))[1]
+        assert got[-1] == count
+
+
 def test_repeated_rows_null_ids_and_empty_table(spark):
     text = " ".join(f"considerable{k}" for k in range(40))
     df = spark.createDataFrame([(7, text, None), (7, text, None), (None, text, None), (9, text + " more", None)], SCHEMA)
