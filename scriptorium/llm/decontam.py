@@ -11,6 +11,10 @@ verified by an alignment within the band.
 Up to half the needed q-grams of an item, those that most items have, are left
 out of the count, and the bound is lowered by their number: the filter still
 loses nothing.
+
+Items of under SHORTEST bytes may have as many edits as leave one q-gram that must
+be shared. Those without an edit are found by the hash of their bytes from each
+word's start on, where a word ends with them.
 """
 
 from __future__ import annotations
@@ -23,11 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.llm.storage import small_batches
-from scriptorium.llm.textkernel import _WORD, HashTable, fold, mix, passes
+from scriptorium.llm.textkernel import _WORD, HashTable, fold, mix, passes, span_hashes
 
 Q = 8
 RATE = 0.08
-#: Normalised bytes an item must have; shorter ones occur by chance and are never looked for.
+#: Normalised bytes under which an item's edits are lowered until it must share a q-gram; without edits it is looked for as whole words.
 SHORTEST = 32
 #: Bytes of benchmark text that are searched for in one pass over the documents.
 CHUNK_BYTES = 32 << 20
@@ -64,15 +68,28 @@ class Items:
 
     def __init__(self, ids: list[int], texts: list[str], rate: float = RATE):
         self.ids, self.texts = [], []
+        exact: dict[int, list[tuple[int, np.ndarray]]] = {}
         for i, t in zip(ids, texts):
             raw = np.frombuffer((t or "").encode(), dtype=np.uint8)
             low = normalise(raw, np.array([0, len(raw)]))[0]
             low = np.frombuffer(low.tobytes().strip(), dtype=np.uint8)
-            if i is not None and len(low) >= SHORTEST:
+            if i is None or not len(low):
+                continue
+            if len(low) < SHORTEST and min(int(len(low) * rate), (len(low) - Q) // Q) < 1:
+                exact.setdefault(len(low), []).append((i, low))
+            else:
                 self.ids.append(i)
                 self.texts.append(low)
         self.n = np.array([len(t) for t in self.texts], dtype=np.int64)
         self.edits = (self.n * rate).astype(np.int64)
+        self.edits = np.where(self.n < SHORTEST, np.minimum(self.edits, (self.n - Q) // Q), self.edits)
+        self.exact = []
+        for size, own in sorted(exact.items()):
+            place = len(self.ids) + np.arange(len(own))
+            self.ids += [i for i, _ in own]
+            at = np.arange(len(own)) * size
+            keys, which, count = np.unique(span_hashes(np.concatenate([t for _, t in own]), at, at + size), return_inverse=True, return_counts=True)
+            self.exact.append((size, HashTable(keys), place[np.argsort(which, kind="stable")], np.cumsum(count) - count, count))
         need = self.n - Q + 1 - Q * self.edits
         if (need < 1).any():
             raise ValueError("the edit rate leaves no q-gram that must be shared")
@@ -127,9 +144,13 @@ def align(windows: list[np.ndarray], patterns: list[np.ndarray], widths: np.ndar
 
 def search(column: pa.Array, items: Items) -> Iterator[tuple[np.ndarray, ...]]:
     """For each pass: row, item, begin, end (in characters) and edits of what is found."""
-    n_items = len(items.ids)
+    n_items = len(items.texts)
     for lo, _, data, offsets in passes(column):
         low, at, ends = normalise(data, offsets)
+        for d, i, begin, end in _exact(low, ends, items):
+            chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+            start = chars[offsets[d]]
+            yield lo + d, i, chars[at[begin]] - start, chars[at[end - 1] + 1] - start, np.zeros(len(d), dtype=np.int64)
         if not n_items or len(low) < Q:
             continue
         row = items.table.find(grams(low))
@@ -179,6 +200,27 @@ def search(column: pa.Array, items: Items) -> Iterator[tuple[np.ndarray, ...]]:
             yield lo + d, i, chars[at[begin]] - start, chars[at[end - 1] + 1] - start, edits
 
 
+def _exact(low: np.ndarray, ends: np.ndarray, items: Items) -> Iterator[tuple[np.ndarray, ...]]:
+    """For each length, where items without edits stand as whole words: doc, item, begin, end."""
+    if not items.exact or not len(low):
+        return
+    first = np.concatenate([[True], low[:-1] == 32])
+    first[ends[:-1][ends[:-1] < len(low)]] = True
+    pos = np.flatnonzero(first & (low != 32))
+    last = ends[np.searchsorted(ends, pos, side="right")]
+    for size, table, item, begin, count in items.exact:
+        fits = pos + size <= last
+        p = pos[fits]
+        p = p[(p + size == last[fits]) | (low[np.minimum(p + size, len(low) - 1)] == 32)]
+        row = table.find(span_hashes(low, p, p + size))
+        p, row = p[row >= 0], row[row >= 0]
+        if len(p):
+            n = count[row]
+            which = item[np.repeat(begin[row] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            p = np.repeat(p, n)
+            yield np.searchsorted(ends, p, side="right") - 1, which, p, p + size
+
+
 def _verify(low: np.ndarray, ends: np.ndarray, doc: np.ndarray, item: np.ndarray, low_diag: np.ndarray, width: np.ndarray, items: Items) -> tuple[np.ndarray, ...]:
     """Those of the regions that hold their item within its edits: doc, item, begin, end, edits."""
     pats = [items.texts[k] for k in item]
@@ -214,7 +256,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> D
     """(doc_id, item_id, begin, end, edits): where documents hold items, in characters.
 
     One row for each region of neighbouring bands, with its best match. Null and
-    empty texts hold nothing, and items that are null or shorter than SHORTEST are
+    empty texts hold nothing, and items that are null or without a word are
     not looked for; repeated rows are each searched; an empty benchmark or table
     gives no rows. Other columns are not looked at.
     """

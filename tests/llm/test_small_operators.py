@@ -173,6 +173,22 @@ def test_decontamination_tables(spark):
     assert decontam.contaminated(docs(spark, []), bench).count() == 0
 
 
+def test_short_benchmark_items_are_found(spark):
+    items = ["What is the capital of France?", "Yes, no", "é", "forty-two men", "Paris", "Paris!", "name the largest moon", "?!"]
+    texts = ["So: what is the capital of france", "what is the capitol of France, he asked", "oh yes no", "eyes no", "l'é", "été", "forty two men", "forty two menus", "in PARIS.", "parisian", "name the largest moons", "name the largest noon", "name a small moon", "", None, "Paris"]
+    found, index = set(), decontam.Items(list(range(len(items))), items)
+    for row, item, begin, end, edits in decontam.search(pa.array(texts), index):
+        found |= {(r, index.ids[i], texts[r][a:b], e) for r, i, a, b, e in zip(row.tolist(), np.array(item).tolist(), begin.tolist(), end.tolist(), edits.tolist())}
+    assert {(r, i, e) for r, i, _, e in found} == {(0, 0, 0), (1, 0, 1), (2, 1, 0), (4, 2, 0), (6, 3, 0), (8, 4, 0), (8, 5, 0), (15, 4, 0), (15, 5, 0), (10, 6, 0), (11, 6, 1)}
+    assert {t for r, _, t, _ in found if r in (2, 8)} == {"yes no", "PARIS"}
+    for n in range(decontam.Q, decontam.SHORTEST):
+        index = decontam.Items([1], ["x" * n])
+        assert len(index.exact) or index.edits[0] >= 1
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    left = decontam.decontaminate(docs(spark, [(k, t, "s") for k, t in enumerate(texts)]), bench)
+    assert sorted(r["doc_id"] for r in left.collect()) == [3, 5, 7, 9, 12, 13, 14]
+
+
 # ---- quality
 
 
