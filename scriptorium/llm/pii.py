@@ -214,29 +214,51 @@ KINDS: dict[str, tuple[str, Callable]] = {
     "secret": (r"\bAKIA[0-9A-Z]{16}\b|\b(?:password|passwd|secret|token|api_key)\s?=\s?\"?[0-9A-Za-z]{8,}\"?", secret),
     "email": (r"\b[0-9A-Za-z][0-9A-Za-z._%+-]*@(?:[0-9A-Za-z-]+\.)+[A-Za-z]{2,}\b", email),
     "iban": (r"\b[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?\b", iban),
-    "date": (rf"(?<![\w.-])(?:\d{{4}}(?P<s>[-/.])\d\d(?P=s)\d\d|\d\d(?P<t>[-/.])\d\d(?P=t)\d{{4}}|\d{{1,2}} {_MONTH} \d{{4}}|{_MONTH} \d{{1,2}}, \d{{4}})(?![\w-])", date),
+    "date": (rf"(?<![\w.-])(?:\d{{4}}(?P<s>[-/.])\d\d(?P=s)\d\d|\d\d(?P<t>[-/.])\d\d(?P=t)\d{{4}}|\d{{1,2}} {_MONTH} \d{{4}}|{_MONTH} \d{{1,2}}, \d{{4}})(?:(?![\w-])|(?=[Tt]\d\d:?\d\d))", date),
     "ipv4": (r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d)", ipv4),
     "ssn": (r"(?<![\w-])\d{3}-\d\d-\d{4}(?![\w-])", ssn),
     "phone": (r"(?<![\w+])(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)", phone),
     "card": (r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])", card),
 }
 _RX = re.compile("|".join(f"(?P<{k}>{p})" for k, (p, _) in KINDS.items()))
+_EACH = {k: re.compile(p) for k, (p, _) in KINDS.items()}
+#: Kinds of which a shorter value may stand in what their pattern takes, and what can't follow one.
+_SHORTER = {"iban": re.compile(r"\w"), "card": re.compile(r"[\w-]")}
 _MAYBE = re.compile(r"[0-9@]|\b(?:password|passwd|secret|token|api_key)\b")
 
 
+def _at(text: str, start: int, key: bytes) -> tuple[str, int, str] | None:
+    """Kind, end and pseudonym of the first kind, longest first, of which a valid value starts here."""
+    for kind, rx in _EACH.items():
+        m = rx.match(text, start)
+        if not m:
+            continue
+        end = m.end()
+        if new := KINDS[kind][1](text[start:end], key):
+            return kind, end, new
+        if kind in _SHORTER:
+            for end in range(m.end() - 1, start, -1):
+                if not _SHORTER[kind].match(text, end) and (m := rx.fullmatch(text, start, end)) and (new := KINDS[kind][1](m[0], key)):
+                    return kind, end, new
+    return None
+
+
 def pseudonymise(text: str, key: bytes, found: dict[str, int] | None = None) -> str:
     """The text with every validated value replaced; found counts them by kind."""
-
-    def one(m: re.Match) -> str:
-        kind = next(k for k in KINDS if m[k] is not None)
-        new = KINDS[kind][1](m[0], key)
-        if new is None:
-            return m[0]
+    if not _MAYBE.search(text):
+        return text
+    out, done, at = [], 0, 0
+    while m := _RX.search(text, at):
+        start = m.start()
+        if (hit := _at(text, start, key)) is None:
+            at = start + 1
+            continue
+        kind, at, new = hit
+        out += [text[done:start], new]
+        done = at
         if found is not None:
             found[kind] = found.get(kind, 0) + 1
-        return new
-
-    return _RX.sub(one, text) if _MAYBE.search(text) else text
+    return "".join([*out, text[done:]])
 
 
 def pseudonymise_pii(docs: DataFrame, key: bytes = KEY, text_col: str = "text") -> DataFrame:

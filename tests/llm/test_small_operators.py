@@ -353,6 +353,25 @@ def test_only_valid_values_change():
     assert datetime.date.fromisoformat(pii.pseudonymise("on 2024-02-29.", b"key")[3:13])
 
 
+@pytest.mark.parametrize(
+    "before, value, after, kind",
+    [
+        ("", "4111 1111 1111 1111", " 12/25", "card"),
+        ("", "4111111111111111", " 123", "card"),
+        ("no. 12345 ", "4111 1111 1111 1111", "", "card"),
+        ("", "GB82 WEST 1234 5698 7654 32", "", "iban"),
+        ("", "BE68 5390 0754 7034", " BANK of", "iban"),
+        ("at ", "2024-05-01", "T10:00:00Z", "date"),
+        ("999.1.1.1 ", "8.8.8.8", "", "ipv4"),
+    ],
+)
+def test_values_beside_other_characters_are_found(before, value, after, kind):
+    found = {}
+    new = pii.pseudonymise(before + value + after, b"key", found)
+    assert found == {kind: 1} and new.startswith(before) and new.endswith(after)
+    assert new[len(before) : len(new) - len(after)] == pii.KINDS[kind][1](value, b"key") != value
+
+
 def test_pii_tables(spark):
     rows = [(1, "call (988) 555-2485 now", "s"), (2, "was (988) 555-2485", "s"), (3, None, "s"), (4, "", "s"), (1, "call (988) 555-2485 now", "s")]
     out = pii.pseudonymise_pii(docs(spark, rows)).collect()
