@@ -17,6 +17,12 @@ chunk of a pair to differ in two or more places, the pair would be at distance
 at most one error. All allowed errors of a chunk are enumerated by leaving out
 one symbol at a time; a pair within the radius then shares one of those keys
 *for certain*. Signatures that share a key are compared in full.
+
+Keys are counted before anything is gathered. Those of at most ``MOST``
+signatures are gathered and compared. The signatures of a larger one are each
+compared with its least member; those that aren't within the radius of it are
+compared, in blocks of about ``MOST``, among each other and with the rest, so no
+task holds more than two blocks and no link is lost.
 """
 
 from __future__ import annotations
@@ -25,18 +31,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from scriptorium.llm.storage import keep, small_batches
+from scriptorium.llm.storage import drop, id_of, keep, small
 from scriptorium.llm.textkernel import Words, mix, passes
 
 K, B, WIDTH = 80, 16, 5
 CHUNKS = K // WIDTH
 RADIUS = 2 * CHUNKS - 1
 LONG = 6
-#: Rows up to which a list of identifiers is broadcast instead of shuffled (16 MB).
-BROADCAST_ROWS = 1_000_000
+#: Signatures of one key that are gathered in one row.
+MOST = 512
 
 _rng = np.random.default_rng(20240607)
 _MULTIPLY = _rng.integers(0, 1 << 31, K, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -105,8 +112,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, sig) of every document with an id and at least one word."""
-    src = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    """(id, sig) of every document with an id, a whole number, and at least one word."""
+    src = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     return src.where("id IS NOT NULL AND text IS NOT NULL").mapInArrow(_sign, "id long, sig binary")
 
 
@@ -181,58 +188,138 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
+def _far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distance of each row's two signatures in their place."""
+    for batch in batches:
+        d = (_matrix(batch.column(3)) != _matrix(batch.column(4))).sum(axis=1) if batch.num_rows else np.zeros(0)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(d.astype(np.int32))], ["key", "id", "first", "d"])
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links within each cell: among its far members, and one from each of them to a near one."""
+    for batch in batches:
+        column = batch.column(0)
+        members = column.flatten()
+        ids, near = (members.field(k).to_numpy(zero_copy_only=False) for k in (0, 2))
+        sig = _matrix(members.field(1))
+        ends = np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False)).tolist()
+        found: list[tuple[int, int]] = []
+        for s, t in zip([0, *ends], ends):
+            own, others = s + np.flatnonzero(near[s:t]), s + np.flatnonzero(~near[s:t])
+            if not len(own):
+                found += link(ids[s:t], sig[s:t])
+                continue
+            for k in others:
+                hit = np.flatnonzero((sig[own] != sig[k]).sum(axis=1) <= RADIUS)
+                found += [(int(ids[k]), int(ids[own[hit[0]]]))] if len(hit) else []
+        a, b = np.array(found, dtype=np.int64).reshape(-1, 2).T
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+
+def _hot_links(members: DataFrame, classes: DataFrame, most: int) -> DataFrame:
+    """Links (a, b) among the members (key, id, first) of keys that are too large to gather.
+
+    The near ones, within the radius of ``first``, are linked to it and so with each
+    other. Every other one is compared with all others and all near ones; all near
+    ones are one component already, so one link to them is enough.
+    """
+    signed = members.join(classes, "id")
+    heads = classes.select(F.col("id").alias("first"), F.col("sig").alias("head"))
+    firsts = members.select("first").distinct().join(heads, "first")
+    far = keep(signed.join(small(firsts), "first").select("key", "id", "first", "sig", "head").mapInArrow(_far, "key long, id long, first long, d int"))
+    star = far.where((F.col("d") <= RADIUS) & (F.col("id") != F.col("first"))).select(F.col("first").alias("a"), F.col("id").alias("b"))
+    near = F.col("d") <= RADIUS
+    sizes = far.groupBy("key").agg(F.count(F.when(~near, 1)).alias("out"), F.count(F.when(near, 1)).alias("in")).where("out > 0")
+    sizes = sizes.select("key", F.ceil(F.col("out") / most).cast("int").alias("outs"), F.ceil(F.col("in") / most).cast("int").alias("ins"))
+    sizes = keep(sizes)
+    if sizes.isEmpty():
+        return star
+    rest = far.join(small(sizes), "key").withColumn("near", near).withColumn("block", F.pmod(F.xxhash64("id"), F.when(near, F.col("ins")).otherwise(F.col("outs"))).cast("int"))
+    others = F.sequence(F.lit(0), F.col("outs") - 1)
+    with_near = F.when(F.col("ins") > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.col("ins"), F.lit(1)) - 1), lambda j: F.struct(F.col("block").alias("i"), (-1 - j).alias("j"))))
+    cells = F.when(F.col("near"), F.transform(others, lambda i: F.struct(i.alias("i"), (-1 - F.col("block")).alias("j"))))
+    cells = cells.otherwise(F.concat(F.transform(others, lambda j: F.struct(F.least(F.col("block"), j).alias("i"), F.greatest(F.col("block"), j).alias("j"))), F.coalesce(with_near, F.array().cast("array<struct<i:int,j:int>>"))))
+    placed = rest.select("key", "id", "near", F.explode(cells).alias("cell")).join(classes, "id")
+    grouped = placed.groupBy("key", "cell").agg(F.collect_list(F.struct("id", "sig", "near")).alias("m"))
+    return star.unionAll(grouped.select("m").mapInArrow(_cells, "a long, b long"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, root): the least id reachable from each id of the edges (a, b).
 
-    Alternating large-star and small-star steps; each round's edges are
+    Alternating large-star and small-star steps. Least neighbours are found by an
+    aggregate, which is combined before its shuffle, and joined back, so an id
+    with very many neighbours is in no single task. Each round's edges are
     written to the shared folder, and the loop ends when a round changes none.
     """
-    least = Window.partitionBy("u")
     now = keep(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
 
     def state(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
+    def with_least(df: DataFrame) -> DataFrame:
+        return df.join(df.groupBy("u").agg(F.min("v").alias("m")), "u")
+
     mark = state(now)
     while mark[0]:
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        m = F.least(F.col("u"), F.min("v").over(least))
-        large = both.withColumn("m", m).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        m = F.min("v").over(least)
-        small = large.withColumn("m", m).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        now, old = keep(small), mark
+        large = with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        large = keep(large)
+        links = with_least(large).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")))).alias("e"))
+        last, now, old = now, keep(links.select("e.*").where("u <> v").distinct()), mark
         mark = state(now)
+        drop(last)
+        drop(large)
         if mark == old:
             break
     return now.select(F.col("u").alias("id"), F.col("v").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def numbered(docs: DataFrame, id_col: str) -> DataFrame:
+    """(name, id): numbers, in the order of the ids, for ids that aren't whole numbers."""
+    ids = docs.select(F.col(f"`{id_col}`").alias("name")).where("name IS NOT NULL").distinct()
+    return keep(ids.orderBy("name").withColumn("id", F.monotonically_increasing_id()))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST) -> DataFrame:
     """(doc_id, keeper_id) for every document that repeats the keeper of its group.
 
     Groups are the connected components of all pairs within the radius; the
-    keeper is the least id of a group and has no row itself. Rows without an id
-    or without a word join no group. Repeated rows of one id are one document
-    (its signature is compared once for each differing text). An empty table
-    gives no rows. Other columns are not looked at.
+    keeper is the least id of a group and has no row itself. Ids may be of any
+    type that can be sorted. Rows without an id or without a word join no group.
+    Repeated rows of one id are one document (its signature is compared once for
+    each differing text). An empty table gives no rows. Other columns are not
+    looked at.
     """
+    if isinstance(docs.schema[id_col].dataType, IntegralType):
+        return _near_duplicates(docs, id_col, text_col, most)
+    names = numbered(docs, id_col)
+    own = docs.select(F.col(f"`{id_col}`").alias("name"), F.col(f"`{text_col}`").alias("text")).join(names, "name")
+    out = _near_duplicates(own, "id", "text", most)
+    gone, keeper = (names.withColumnsRenamed({"name": n, "id": k}) for n, k in (("of", "doc_id"), ("by", "keeper_id")))
+    return out.join(gone, "doc_id").join(keeper, "keeper_id").select(F.col("of").alias("doc_id"), F.col("by").alias("keeper_id"))
+
+
+def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, most: int) -> DataFrame:
     signed = keep(sign(docs, id_col, text_col))
     classes = keep(signed.groupBy("sig").agg(F.min("id").alias("id")))
     keys = classes.select("id", "sig").mapInArrow(_keys, "key long, id long")
-    buckets = keys.groupBy("key").agg(F.array_sort(F.collect_set("id")).alias("ids")).where("size(ids) > 1")
-    buckets = keep(buckets.select("ids").distinct().withColumn("bucket", F.xxhash64("ids")))
-    member = buckets.select("ids", "bucket", F.explode("ids").alias("id"))
-    grouped = member.join(classes, "id").groupBy("bucket", "ids").agg(F.collect_list(F.struct("id", "sig")).alias("m"))
-    edges = grouped.select("m").mapInArrow(_verify, "a long, b long")
+    # of keys with the same members one is enough; they are told by two hashes over the members
+    ways = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"x{k}") for k in (0, 1)]
+    shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first"), *ways).where("n > 1")
+    shared = keep(shared.groupBy("n", "first", "x0", "x1").agg(F.min("key").alias("key")).select("key", "n", "first"))
+    members = keep(keys.join(small(shared), "key"))
+    few = members.where(F.col("n") <= most).join(classes, "id").groupBy("key").agg(F.collect_list(F.struct("id", "sig")).alias("m"))
+    edges = few.select("m").mapInArrow(_verify, "a long, b long")
+    if not shared.where(F.col("n") > most).isEmpty():
+        edges = edges.unionAll(_hot_links(members.where(F.col("n") > most).select("key", "id", "first"), classes, most))
     roots = components(edges)
     by_sig = classes.withColumnRenamed("id", "rep").join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("sig", F.coalesce("root", "rep").alias("keeper_id"))
     out = signed.join(by_sig, "sig").where("id <> keeper_id")
     return out.select(F.col("id").alias("doc_id"), "keeper_id").distinct()
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST) -> DataFrame:
     """The documents that no group drops; all columns stay as they are."""
-    gone = keep(near_duplicates(docs, id_col, text_col).select(F.col("doc_id").alias("__gone")).distinct())
-    if gone.count() <= BROADCAST_ROWS:
-        gone = F.broadcast(gone)
-    return docs.join(gone, docs[id_col].cast("long") == gone["__gone"], "left_anti")
+    gone = keep(near_duplicates(docs, id_col, text_col, most).select(F.col("doc_id").alias("__gone")).distinct())
+    return docs.join(small(gone), id_of(docs, id_col) == gone["__gone"], "left_anti")

@@ -1,5 +1,5 @@
 import random
-from collections import defaultdict
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -102,6 +102,49 @@ def test_texts_of_short_words_are_compared_in_whole(spark):
     assert {r["doc_id"]: r["keeper_id"] for r in near_dup.near_duplicates(df).collect()} == {2: 0, 5: 3}
 
 
+def shingles(text):
+    """Words and neighbouring pairs, each as often as it occurs."""
+    w = text.split()
+    return Counter(w) + Counter(zip(w, w[1:]))
+
+
+def test_unlike_documents_with_the_same_few_long_words_stay(spark):
+    rng = random.Random(11)
+    long = [f"considerable{k}" for k in range(12)]
+    short = lambda: "".join(rng.choice("abcdefghijklmnopqrst") for _ in range(rng.randint(2, 5)))
+    texts = [" ".join(w for x in long for w in [*(short() for _ in range(42)), x]) for _ in range(5)]
+    texts += [" ".join(w if rng.random() > 0.03 else short() for w in t.split()) for t in texts[:2]]
+    like = {(a, b): sum((shingles(texts[a]) & shingles(texts[b])).values()) / sum((shingles(texts[a]) | shingles(texts[b])).values()) for a in range(7) for b in range(a + 1, 7)}
+    assert all(j > 0.8 if p in ((0, 5), (1, 6)) else j < 0.1 for p, j in like.items())
+    df = spark.createDataFrame([(k, t, None) for k, t in enumerate(texts)], SCHEMA)
+    assert {r["doc_id"]: r["keeper_id"] for r in near_dup.near_duplicates(df).collect()} == {5: 0, 6: 1}
+
+
+@pytest.mark.parametrize("most", [1, 3, 20])
+def test_large_buckets_lose_no_link(spark, most):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(6, 10)))
+    change = lambda words, rate: [w if rng.random() > rate else word() for w in words]
+    form = [word() for _ in range(120)]
+    texts = [change(form, rate) for rate in (0.02, 0.1, 0.2, 0.3) for _ in range(25)]  # some near one another, some only to a few
+    texts = [" ".join(t) for t in texts]
+    rows, sig = sign(texts)
+    pairs = [(a, b) for a in range(len(rows)) for b in range(a) if (sig[a] != sig[b]).sum() <= near_dup.RADIUS]
+    want = groups(pairs, rows)
+    assert 20 < len(want) < 99 and len(pairs) < 99 * 98 / 2
+    df = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], SCHEMA).repartition(6)
+    assert {r["doc_id"]: r["keeper_id"] for r in near_dup.near_duplicates(df, most=most).collect()} == want
+
+
+def test_ids_of_other_types_and_clashing_columns(spark):
+    text = " ".join(f"considerable{k}" for k in range(40))
+    rows = [("b", text, 1, "k", 2), ("a", text + " more", 1, "k", 2), (None, text, 1, "k", 2), ("c", "other words altogether", 1, "k", 2), ("d", None, 1, "k", 2)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, id long, key string, n long")
+    assert [tuple(r) for r in near_dup.near_duplicates(df).collect()] == [("b", "a")]
+    left = near_dup.drop_near_duplicates(df)
+    assert left.columns == df.columns and sorted(r["doc_id"] or "" for r in left.collect()) == ["", "a", "c", "d"]
+
+
 @pytest.mark.parametrize("text, count", [("of", 1), ("of it", 3), ("of it is", 2), ("of it is so", 3), ("of it station", 3), ("of of", 1), ("station of it", 3)])
 def test_every_word_is_in_a_feature(text, count):
     for rows in ([text], [text, "is a", text], ["", text]):
