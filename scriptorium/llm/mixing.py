@@ -11,6 +11,7 @@ The running sum never needs a whole source in one task. Keys fall into
 ``BUCKETS`` ordered buckets, whose token sums alone tell in which bucket a
 source's rest ends; only the documents of that bucket are sorted, which gives
 the last key taken, and every other document is decided by comparing its key.
+Of repeated rows of one key, so many are taken as the rest has room for.
 """
 
 from __future__ import annotations
@@ -18,11 +19,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptorium.llm.storage import keep
+from scriptorium.llm.storage import id_of, keep, small
 
 BUCKETS = 4096
-#: Sources up to which the plan is broadcast; beyond, it is joined by a shuffle.
-BROADCAST_ROWS = 500_000
+#: Parts in which the repeated rows of one key are counted off.
+PARTS = 1024
 #: Characters that running prose has few of.
 MARKS = "0123456789#$%&*|!@<>{}[]=_~^/+"
 SEED = "mix-1"
@@ -46,7 +47,10 @@ def sampling_key(id_: Column, weight: Column, seed: str = SEED) -> Column:
 
 
 def plan(keyed: DataFrame, budget_share: float = 1.0, weights: dict[str, float] | None = None) -> DataFrame:
-    """(source, epochs, last): whole epochs of each source, and the last (key, id, tokens) of its partial one.
+    """(source, epochs, b, in_bucket, edge, room): whole epochs of each source, and what its partial one takes.
+
+    That is all buckets before ``b``, of b all up to the (key, id, tokens) of ``in_bucket``, and ``room`` of the
+    repeated rows that are ``edge``, where there is room for some of them only.
 
     Target weights are those given by source (others get nothing), or in
     proportion to the whole part of the square root of the source's tokens.
@@ -69,56 +73,66 @@ def plan(keyed: DataFrame, budget_share: float = 1.0, weights: dict[str, float]
     ends = sums.withColumn("before", up_to - F.col("n")).withColumn("up_to", up_to)
     ends = ends.withColumnRenamed("source", "s").join(source, F.col("s").eqNullSafe(F.col("source")))
     ends = ends.where("before <= rest AND up_to > rest").select("s", F.col("bucket").alias("b"), "before", "rest")
-    inside = keyed.withColumn("bucket", bucket).join(_small(ends, source), F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
+    inside = keyed.withColumn("bucket", bucket).join(small(ends, source), F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
+    inside = inside.groupBy("source", "key", "id", "n", "before", "rest").agg(F.count("*").alias("times"))
     order = Window.partitionBy("source").orderBy("key", "id", "n").rowsBetween(Window.unboundedPreceding, 0)
-    inside = inside.withColumn("run", F.col("before") + F.sum("n").over(order)).where("run <= rest")
-    last = inside.groupBy(F.col("source").alias("s")).agg(F.max(F.struct("key", "id", "n")).alias("in_bucket"))
+    inside = inside.withColumn("run", F.col("before") + F.sum(F.col("n") * F.col("times")).over(order))
+    here, fits = F.struct("key", "id", "n"), F.col("run") <= F.col("rest")
+    room = F.expr("cast(times - (run - rest + n - 1) div nullif(n, 0) as long)")
+    edge = F.min(F.when(~fits, F.struct("key", "id", "n", room.alias("room"))))
+    last = inside.groupBy(F.col("source").alias("s")).agg(F.max(F.when(fits, here)).alias("in_bucket"), edge.alias("e"))
+    last = last.select("s", "in_bucket", F.when(F.col("e.room") > 0, F.struct("e.key", "e.id", "e.n")).alias("edge"), F.col("e.room").alias("room"))
     first = ends.withColumnRenamed("s", "z")
     out = source.join(last, F.col("source").eqNullSafe(F.col("s")), "left").join(first, F.col("source").eqNullSafe(F.col("z")), "left")
-    return keep(out.select("source", "epochs", "b", "in_bucket"))
+    return keep(out.select("source", "epochs", "b", "in_bucket", "edge", "room"))
 
 
-def _small(df: DataFrame, by: DataFrame) -> DataFrame:
-    """df with a broadcast hint if ``by``, which has no fewer rows, is small."""
-    return F.broadcast(df) if by.count() <= BROADCAST_ROWS else df
+def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str) -> list[Column]:
+    text, id_ = F.col(f"`{text_col}`"), id_of(docs, id_col)
+    return [id_.alias("id"), F.col(f"`{source_col}`").cast("string").alias("source"), n_tokens(text).alias("n"), sampling_key(id_, quality_weight(text), seed).alias("key")]
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str) -> list[Column]:
-    text, id_ = F.col(text_col), F.col(id_col)
-    return [id_.cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), n_tokens(text).alias("n"), sampling_key(id_, quality_weight(text), seed).alias("key")]
+def _bucket() -> Column:
+    return F.least(F.lit(BUCKETS - 1), F.floor((1 - F.exp(-F.col("key"))) * BUCKETS)).cast("int")
 
 
-def _copies() -> Column:
-    """How often a row (id, n, key, bucket) is taken under its source's plan."""
+def _taken(rows: DataFrame, aims: DataFrame) -> DataFrame:
+    """rows (id, source, n, key, ...) with ``copies``, how often each is taken under its source's plan."""
     here = F.struct("key", "id", "n")
+    rows = rows.withColumn("bucket", _bucket()).join(small(aims.withColumnRenamed("source", "s"), aims), F.col("source").eqNullSafe(F.col("s")))
     partial = (F.col("bucket") < F.col("b")) | ((F.col("bucket") == F.col("b")) & F.col("in_bucket").isNotNull() & (here <= F.col("in_bucket")))
-    return F.col("epochs") + F.when(partial, 1).otherwise(0)
-
-
-def _bucket() -> Column:
-    return F.least(F.lit(BUCKETS - 1), F.floor((1 - F.exp(-F.col("key"))) * BUCKETS)).cast("int")
+    rows = rows.withColumn("copies", (F.col("epochs") + F.when(partial, 1).otherwise(0)).cast("long"))
+    if aims.where("room > 0").isEmpty():
+        return rows
+    # rows of the edge are all alike; they are counted off in parts, so that no task has all of them
+    split = F.col("edge").isNotNull() & F.col("edge").eqNullSafe(here)
+    edge = keep(rows.where(split).withColumn("part", F.floor(F.rand(1) * PARTS)))
+    sizes = edge.groupBy("source", "part").agg(F.count("*").alias("size"))
+    before = F.sum("size").over(Window.partitionBy("source").orderBy("part")) - F.col("size")
+    sizes = sizes.select(F.col("source").alias("s2"), F.col("part").alias("p2"), before.alias("ahead"))
+    edge = edge.join(sizes, F.col("source").eqNullSafe(F.col("s2")) & (F.col("part") == F.col("p2"))).withColumn("nth", F.row_number().over(Window.partitionBy("source", "part").orderBy("n")))
+    edge = edge.withColumn("copies", F.col("copies") + F.when(F.col("ahead") + F.col("nth") <= F.col("room"), 1).otherwise(0))
+    return rows.where(~split).unionByName(edge.select(*rows.columns))
 
 
 def mix_sources(docs: DataFrame, budget_share: float = 1.0, weights: dict[str, float] | None = None, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(doc_id, source, n_tokens, copies) of every document that is taken at least once.
 
     A null source is a source of its own; null and empty texts have no tokens,
-    and a source without any is taken once. Repeated rows each count; documents
-    of one key go by id, then by tokens. An empty table gives no rows.
+    and a source without any is taken once. Documents of one key go by id, null
+    first, then by tokens. Repeated rows each count, and where the budget ends
+    among them, as many are taken as fit. An empty table gives no rows.
     """
     keyed = keep(docs.select(*_keyed(docs, id_col, text_col, source_col, seed)))
-    aims = plan(keyed, budget_share, weights).withColumnRenamed("source", "s")
-    out = keyed.withColumn("bucket", _bucket()).join(_small(aims, aims), F.col("source").eqNullSafe(F.col("s")))
-    return out.select(F.col("id").alias("doc_id"), "source", F.col("n").alias("n_tokens"), _copies().cast("long").alias("copies")).where("copies > 0")
+    out = _taken(keyed, plan(keyed, budget_share, weights))
+    return out.select(F.col("id").alias("doc_id"), "source", F.col("n").alias("n_tokens"), "copies").where("copies > 0")
 
 
 def mixed(docs: DataFrame, budget_share: float = 1.0, weights: dict[str, float] | None = None, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The documents themselves, each row as often as it is taken, with their own columns."""
     keyed = keep(docs.select(*_keyed(docs, id_col, text_col, source_col, seed)))
-    aims = plan(keyed, budget_share, weights).withColumnRenamed("source", "s")
     own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    out = docs.select(own, *_keyed(docs, id_col, text_col, source_col, seed)).withColumn("bucket", _bucket())
-    out = out.join(_small(aims, aims), F.col("source").eqNullSafe(F.col("s"))).withColumn("copies", _copies()).where("copies > 0")
+    out = _taken(docs.select(own, *_keyed(docs, id_col, text_col, source_col, seed)), plan(keyed, budget_share, weights)).where("copies > 0")
     return out.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
