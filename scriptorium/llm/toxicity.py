@@ -8,11 +8,14 @@ all together, stratified, so a form needs few documents where few are labelled;
 phrase counts as any other form, since only documents are counted. A two-state chain is then trained
 on these token labels by gradient ascent on its conditional likelihood; its
 features are word forms and openings, and its marginals, by the forward-backward
-recursion in log odds, give each document's score and the offending offsets.
+recursion, give each document's score and the offending offsets. A message is a
+ratio of odds, and a step of the recursion a linear fraction of it; such steps
+compose, so a long text is cut into blocks that advance together.
 
 Training reads at most ``TRAIN_DOCS`` labelled documents of each class, chosen by
 a hash of their ids, as many of each language as there are or as leaves the others
-the same number. Scoring reads every document in whole.
+the same number; one of more than ``TRAIN_CHARS`` characters is left out. Scoring
+reads every document in whole, and each token has its marginal.
 """
 
 from __future__ import annotations
@@ -27,11 +30,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.llm.near_dup import link, signatures
-from scriptorium.llm.storage import small_batches
+from scriptorium.llm.storage import join_keys, texts, with_id
 from scriptorium.llm.textkernel import HashTable, Words, mix, passes, span_hashes
 
 #: Labelled documents of each class that training reads at most.
 TRAIN_DOCS = 1000
+TRAIN_CHARS = 1_000_000
 #: Share of falsely found forms that is expected among those that mark tokens, and share of the clean documents that may have a form, relative to that of the toxic ones.
 FALSE_SHARE, CLEAN_SHARE = 0.05, 0.02
 #: Bytes of the openings of a word that are features, next to the word itself.
@@ -43,8 +47,10 @@ WINDOW, ROUNDS, RATE, DECAY = 48, 30, 0.5, 1e-6
 MISFIT, MOST_ROUNDS = 0.05, 300
 #: Marginal from which a token is toxic, and score from which a document is.
 THRESHOLD = 0.5
-#: A document none of whose tokens can reach this marginal has score 0.
-FLOOR = 0.01
+#: Log odds beyond which a token's own features count no more.
+LIMIT = 60.0
+#: Tokens of a block; chains of more are cut.
+BLOCK = 2048
 
 
 def word_features(words: Words) -> np.ndarray:
@@ -86,32 +92,80 @@ class Chain:
         return out
 
 
-def _ahead(r: np.ndarray, t: np.ndarray) -> np.ndarray:
-    return np.logaddexp(t[0, 1], t[1, 1] + r) - np.logaddexp(t[0, 0], t[1, 0] + r)
+def _advance(x: np.ndarray, e: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return e * (w[0, 1] + w[1, 1] * x) / (w[0, 0] + w[1, 0] * x)
 
 
-def _back(x: np.ndarray, t: np.ndarray) -> np.ndarray:
-    return np.logaddexp(t[1, 0], t[1, 1] + x) - np.logaddexp(t[0, 0], t[0, 1] + x)
+def _run(e: np.ndarray, first: np.ndarray, n: np.ndarray, w: np.ndarray, entry: np.ndarray) -> np.ndarray:
+    """Messages along each block of n tokens from its first on; entry is the message before it, -1 where a chain starts."""
+    order = np.argsort(-n, kind="stable")
+    n, first, entry = n[order], first[order], entry[order]
+    x = e.copy()
+    later = np.flatnonzero((entry >= 0) & (n > 0))
+    x[first[later]] = _advance(entry[later], e[first[later]], w)
+    longest = int(n[0]) if len(n) else 0
+    alive = np.searchsorted(-n, -np.arange(longest), side="left").tolist()
+    now = x[first[: alive[0]]] if longest else x
+    for t in range(1, longest):
+        at = first[: alive[t]] + t
+        now = _advance(now[: alive[t]], e[at], w)
+        x[at] = now
+    return x
+
+
+def _through(e: np.ndarray, first: np.ndarray, n: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """For each block the 2 x 2 matrix that takes (clean, toxic) weights before it to those after it, up to a factor."""
+    order = np.argsort(-n, kind="stable")
+    n, first = n[order], first[order]
+    m = np.tile(np.eye(2), (len(n), 1, 1))  # [block, state after, state before]
+    alive = np.searchsorted(-n, -np.arange(int(n[0])), side="left").tolist()
+    for t, k in enumerate(alive):
+        clean = w[0, 0] * m[:k, 0] + w[1, 0] * m[:k, 1]
+        toxic = e[first[:k] + t][:, None] * (w[0, 1] * m[:k, 0] + w[1, 1] * m[:k, 1])
+        top = np.maximum(clean, toxic).max(axis=1)[:, None]
+        m[:k, 0], m[:k, 1] = clean / top, toxic / top
+    out = np.empty_like(m)
+    out[order] = m
+    return out
 
 
-def forward_backward(e: np.ndarray, counts: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Log odds of the forward, backward and full messages of chains laid end to end.
+def messages(e: np.ndarray, counts: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Odds of the forward messages of chains laid end to end, from the tokens' own odds and the transitions' weights.
 
-    All chains advance together, longest first, so a step is one operation on
-    the chains that are still running.
+    All chains advance together, so a step is one operation on the chains that
+    are still running. Chains of more than BLOCK tokens are cut into blocks; the
+    message before each comes from the product of the steps of those before it.
     """
-    order = np.argsort(-counts, kind="stable")
-    n = counts[order]
-    first = (np.cumsum(counts) - counts)[order]
-    r, s = e.copy(), np.zeros_like(e)
-    longest = int(n[0]) if len(n) else 0
-    alive = np.searchsorted(-n, -np.arange(longest), side="left")
-    for t in range(1, longest):
-        at = first[: alive[t]] + t
-        r[at] += _ahead(r[at - 1], turn)
-    for t in range(longest - 2, -1, -1):
-        at = first[: alive[t + 1]] + t
-        s[at] = _back(e[at + 1] + s[at + 1], turn)
+    start = np.cumsum(counts) - counts
+    long = np.flatnonzero(counts > BLOCK)
+    blocks = np.ones(len(counts), dtype=np.int64)
+    blocks[long] = -(-counts[long] // BLOCK)
+    chain = np.repeat(np.arange(len(counts)), blocks)
+    nth = np.arange(len(chain)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    first = start[chain] + nth * BLOCK
+    n = np.minimum(np.where(blocks[chain] > 1, BLOCK, counts[chain]), start[chain] + counts[chain] - first)
+    entry = np.full(len(chain), -1.0)
+    if len(long):
+        inner = np.flatnonzero((blocks[chain] > 1) & (nth + 1 < blocks[chain]))
+        heads = inner[nth[inner] == 0]
+        last = _run(e, first[heads], n[heads], w, entry[heads])[first[heads] + n[heads] - 1]
+        entry[heads + 1] = last
+        inner = inner[nth[inner] > 0]
+        if len(inner):
+            through = _through(e, first[inner], n[inner], w)
+            for k in range(1, int(nth[inner].max()) + 1):
+                own = np.flatnonzero(nth[inner] == k) if len(long) > 1 else np.array([k - 1])
+                m, x = through[own], entry[inner[own]]
+                entry[inner[own] + 1] = (m[:, 1, 0] + m[:, 1, 1] * x) / (m[:, 0, 0] + m[:, 0, 1] * x)
+    return _run(e, first, n, w, entry)
+
+
+def forward_backward(e: np.ndarray, counts: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log odds of the forward, backward and full messages of chains laid end to end."""
+    odds, w = np.exp(np.clip(e, -LIMIT, LIMIT)), np.exp(turn)
+    ahead = messages(odds, counts, w)
+    back = messages(odds[::-1], counts[::-1], w.T)[::-1] / odds
+    r, s = np.log(ahead), np.log(back)
     return r, s, r + s
 
 
@@ -274,16 +328,17 @@ def train(texts: list[str], toxic: list[bool], lang: list[str | None] | None = N
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[bool], list[str | None]]:
     """Texts, labels and languages of the bounded training sample; without a column lang there is one language."""
-    tagged = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic")).where("id IS NOT NULL AND toxic IS NOT NULL")
+    own, other = join_keys(docs, labels, "doc_id")
+    tagged = labels.select(other.alias("id"), F.col("toxic").cast("int").alias("toxic")).where("id IS NOT NULL AND toxic IS NOT NULL")
     tagged = tagged.groupBy("id").agg(F.max("toxic").alias("toxic"))
-    src = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), (F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")).alias("lang")).where("text IS NOT NULL")
+    src = docs.select(own.alias("id"), F.col("text").cast("string").alias("text"), (F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")).alias("lang")).where("text IS NOT NULL")
     known = src.select("id", "lang").join(tagged.where("toxic IN (0, 1)"), "id").groupBy("id").agg(F.max("toxic").alias("toxic"), F.min("lang").alias("lang"))
     known = known.withColumn("nth", F.row_number().over(Window.partitionBy("toxic", "lang").orderBy(F.xxhash64("id"), "id"))).where(F.col("nth") <= TRAIN_DOCS)
     chosen = [known.where(c).orderBy("nth", F.xxhash64("id"), "id").limit(TRAIN_DOCS) for c in ("toxic = 1", "toxic = 0")]
     chosen = chosen[0].unionAll(chosen[1]).select("id", "toxic")
-    rows = src.join(F.broadcast(chosen), "id").select("id", "text", "toxic", "lang").collect()  # 2 * TRAIN_DOCS ids at most
-    rows = sorted({(r["id"], r["text"], r["toxic"]): r["lang"] for r in sorted(rows, key=lambda r: r["lang"] or "")}.items())
-    return [r[1] for r, _ in rows], [r[2] == 1 for r, _ in rows], [x for _, x in rows]
+    rows = src.where(F.length("text") <= TRAIN_CHARS).join(F.broadcast(chosen), "id").groupBy("id", "toxic").agg(F.min(F.struct("text", "lang")).alias("t"))
+    rows = rows.orderBy("id").select("t.text", "t.lang", "toxic").collect()  # 2 * TRAIN_DOCS texts at most
+    return [r["text"] for r in rows], [r["toxic"] == 1 for r in rows], [r["lang"] for r in rows]
 
 
 def score_texts(column: pa.Array, chain: Chain) -> tuple[np.ndarray, np.ndarray, list[list[tuple[int, int]]]]:
@@ -291,32 +346,26 @@ def score_texts(column: pa.Array, chain: Chain) -> tuple[np.ndarray, np.ndarray,
     n = len(column)
     score, expected = np.zeros(n), np.zeros(n)
     spans: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-    lim = [float(f(np.array([v]), chain.turn)[0]) for f in (_ahead, _back) for v in (-60.0, 60.0)]
-    need = np.log(FLOOR / (1 - FLOOR)) - max(lim[:2]) - max(lim[2:])
-    held: list[tuple] = []
-    for lo, _, data, offsets in passes(column):
+    for lo, hi, data, offsets in passes(column):
         words = Words(data, offsets)
-        e = chain.emissions(words)
-        hot = np.zeros(len(words.counts), dtype=bool)
-        hot[words.doc_of()[e > need]] = True
-        for k in np.flatnonzero(hot):
-            a, b = words.first[k], words.first[k + 1]
-            text = data[offsets[k] : offsets[k + 1]]
-            held.append((lo + k, e[a:b], words.starts[a:b] - offsets[k], words.ends[a:b] - offsets[k], text))
-    if held:
-        counts = np.array([len(h[1]) for h in held])
-        _, _, odds = forward_backward(np.concatenate([h[1] for h in held]), counts, chain.turn)
-        p = 1.0 / (1.0 + np.exp(-np.clip(odds, -50, 50)))
-        ends = np.cumsum(counts)
-        for (row, _, s, t, text), hi, m in zip(held, ends, counts):
-            own = p[hi - m : hi]
-            score[row], expected[row] = own.max(), own.sum()
-            bad = np.flatnonzero(own >= THRESHOLD)
-            if len(bad):
-                chars = np.concatenate([[0], np.cumsum((text & 0xC0) != 0x80)])
-                cut = np.flatnonzero(np.diff(bad) > 1)
-                from_, to = bad[np.concatenate([[0], cut + 1])], bad[np.concatenate([cut, [len(bad) - 1]])]
-                spans[row] = list(zip(chars[s[from_]].tolist(), chars[t[to]].tolist()))
+        if not len(words.starts):
+            continue
+        _, _, odds = forward_backward(chain.emissions(words), words.counts, chain.turn)
+        p = 1.0 / (1.0 + np.exp(-odds))
+        some = np.flatnonzero(words.counts)
+        score[lo + some] = np.maximum.reduceat(p, words.first[some])
+        expected[lo + some] = np.add.reduceat(p, words.first[some])
+        bad = np.flatnonzero(p >= THRESHOLD)
+        if not len(bad):
+            continue
+        of = np.searchsorted(words.first, bad, side="right") - 1
+        cut = np.flatnonzero((np.diff(bad) > 1) | (np.diff(of) > 0))
+        from_, to = bad[np.concatenate([[0], cut + 1])], bad[np.concatenate([cut, [len(bad) - 1]])]
+        of = of[np.concatenate([[0], cut + 1])]
+        chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+        start = chars[offsets[of]]
+        for row, x, y in zip((lo + of).tolist(), (chars[words.starts[from_]] - start).tolist(), (chars[words.ends[to]] - start).tolist()):
+            spans[row].append((x, y))
     return score, expected, spans
 
 
@@ -329,8 +378,9 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     ``score`` is the highest marginal of a token, ``toxic_tokens`` the sum of all
     marginals, ``spans`` the character ranges of neighbouring toxic tokens. Null and
     empty texts score 0; repeated rows are each scored; other columns are not
-    looked at. Labels without an id or a label don't count; of several labels
-    of one document the toxic one does.
+    looked at, and ids may be of any type. Labels without an id or a label don't
+    count; of several labels of one document the toxic one does, and of several
+    texts the first in order is trained on.
     """
     chain = train(*training_rows(docs, labels))
 
@@ -340,14 +390,14 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
             found = pa.array([[{"begin": a, "end": b} for a, b in s] for s in spans], _SPANS)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array(expected), pa.array(score >= THRESHOLD), found], ["doc_id", "score", "toxic_tokens", "toxic", "spans"])
 
-    src = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return src.mapInArrow(run, "doc_id long, score double, toxic_tokens double, toxic boolean, spans array<struct<begin: int, end: int>>")
+    src = texts(docs)
+    return src.mapInArrow(run, with_id(src, "score double, toxic_tokens double, toxic boolean, spans array<struct<begin: int, end: int>>"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that aren't toxic, with all their columns; one pass, no shuffle."""
     chain = train(*training_rows(docs, labels))
-    at = small_batches(docs).columns.index("text")
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
