@@ -5,7 +5,9 @@ file, whose path is a parameter). Ids are then replaced by their rank in the
 whole corpus, 0 for the most frequent token, so most fit one byte. A document's
 ranks are stored in two binary columns: ``control`` has two bits a value, four
 values a byte, for its length of 1 to 4 bytes; ``data`` has the values' bytes,
-least first. Decoding looks the lengths up in a table of 256 rows.
+least first. Decoding looks the lengths up in a table of 256 rows. The token of
+each rank is in the metadata of the column ``data``, which Parquet files keep, so
+decode_texts() needs the coded rows and the vocabulary alone.
 
 Null text gives null columns, empty text zero tokens and empty binaries;
 repeated rows are each encoded; other columns are not looked at.
@@ -14,6 +16,7 @@ repeated rows are each encoded; other columns are not looked at.
 from __future__ import annotations
 
 import base64
+import zlib
 from collections.abc import Iterator
 from itertools import chain
 
@@ -22,14 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.storage import keep, small_batches
+from scriptorium.llm.storage import keep, texts, with_id
 from scriptorium.llm.textkernel import HashTable, passes, span_hashes
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How text is split before pairs are merged; contractions, then letters, digits, the rest and spaces.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces whose tokens a worker remembers before it starts afresh.
-REMEMBERED = 400_000
+#: Pieces, and bytes of them, whose tokens a worker remembers before it starts afresh.
+REMEMBERED, REMEMBERED_BYTES = 400_000, 32 << 20
 
 _SPACE, _LETTER, _DIGIT, _OTHER, _HARD = range(5)
 _KIND = np.full(256, _OTHER, dtype=np.uint8)
@@ -43,8 +46,31 @@ _CONTRACTED = np.zeros(256, dtype=bool)
 _CONTRACTED[list(b"strvmld")] = True
 
 
+#: Bits of a 64-bit number that its first 0 to 8 bytes have.
+_TAIL = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+_SLACK = np.zeros(8, dtype=np.uint8)
+
+
+def same_bytes(a: np.ndarray, at: np.ndarray, b: np.ndarray, bt: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether size bytes of a from at on are those of b from bt on; either has 8 bytes more than are compared."""
+    wide_a, wide_b = (np.lib.stride_tricks.sliding_window_view(x, 8).view("<u8")[:, 0] for x in (a, b))
+    out = np.ones(len(size), dtype=bool)
+    left, done = np.flatnonzero(size > 0), 0
+    while len(left):
+        tail = _TAIL[np.minimum(size[left] - done, 8)]
+        out[left] &= (wide_a[at[left] + done] ^ wide_b[bt[left] + done]) & tail == 0
+        done += 8
+        left = left[(size[left] > done) & out[left]]
+    return out
+
+
 class Pieces:
-    """Tokens of text pieces by a byte-level BPE; pieces met before are looked up."""
+    """Tokens of text pieces by a byte-level BPE; pieces met before are looked up.
+
+    Words and marks, whose borders the kinds of bytes tell, are such pieces. What
+    lies between the white space around other bytes or contractions is one piece
+    too, whose tokens come from the library's own splitter.
+    """
 
     def __init__(self, path: str):
         import tiktoken
@@ -59,23 +85,51 @@ class Pieces:
     def _forget(self) -> None:
         self.known = 0
         self.late, self.late_row = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-        self.table = HashTable(np.zeros(0, dtype=np.uint64))
-        self.keys = np.zeros(1024, dtype=np.uint64)
+        self.table, self.row_of = HashTable(np.zeros(0, dtype=np.uint64)), np.zeros(1, dtype=np.int64)
         self.start, self.count = np.zeros(1024, dtype=np.int64), np.zeros(1024, dtype=np.int64)
         self.flat, self.used = np.zeros(4096, dtype=self.dtype), 0
+        self.text_at, self.size_of = np.zeros(1024, dtype=np.int64), np.zeros(1024, dtype=np.int64)
+        self.text, self.text_used = np.zeros(1 << 16, dtype=np.uint8), 0
 
-    def _room(self, n: int, tokens: int) -> None:
-        if n > len(self.keys):
-            grow = max(n, 2 * len(self.keys))
-            self.keys, self.start, self.count = (np.resize(x, grow) for x in (self.keys, self.start, self.count))
+    def _room(self, n: int, tokens: int, size: int) -> None:
+        if n > len(self.start):
+            grow = max(n, 2 * len(self.start))
+            self.start, self.count, self.text_at, self.size_of = (np.resize(x, grow) for x in (self.start, self.count, self.text_at, self.size_of))
         if tokens > len(self.flat):
             self.flat = np.resize(self.flat, max(tokens, 2 * len(self.flat)))
-
-    def rows(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """For each piece its row in start and count, which lead to its tokens in flat."""
-        if self.known > REMEMBERED:
+        if size + len(_SLACK) > len(self.text):
+            self.text = np.resize(self.text, max(size + len(_SLACK), 2 * len(self.text)))
+
+    def _encode(self, raw: bytes, starts: np.ndarray, ends: np.ndarray, hard: np.ndarray) -> list[list[int]]:
+        plain, split = self.encoding._core_bpe.encode_single_piece, self.encoding.encode_ordinary
+        return [split(raw[s:e].decode("utf-8", "replace")) if h else plain(raw[s:e]) for s, e, h in zip(starts.tolist(), ends.tolist(), hard.tolist())]
+
+    def _learn(self, data: np.ndarray, raw: bytes, starts: np.ndarray, ends: np.ndarray, hard: np.ndarray) -> np.ndarray:
+        """Encode pieces and note their bytes; their rows."""
+        ids = self._encode(raw, starts, ends, hard)
+        count = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+        size = ends - starts
+        n, m, total, bytes_ = self.known, len(ids), int(count.sum()), int(size.sum())
+        self._room(n + m, self.used + total, self.text_used + bytes_)
+        self.count[n : n + m], self.size_of[n : n + m] = count, size
+        self.start[n : n + m] = self.used + np.cumsum(count) - count
+        self.text_at[n : n + m] = self.text_used + np.cumsum(size) - size
+        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), dtype=self.dtype, count=total)
+        self.text[self.text_used : self.text_used + bytes_] = data[np.repeat(starts - (np.cumsum(size) - size), size) + np.arange(bytes_)]
+        self.known, self.used, self.text_used = n + m, self.used + total, self.text_used + bytes_
+        return np.arange(n, n + m)
+
+    def rows(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hard: np.ndarray) -> np.ndarray:
+        """For each piece its row in start and count, which lead to its tokens in flat.
+
+        A piece that is found by its hash is compared byte by byte with the one
+        that is remembered; if another one has its hash, it is encoded by itself.
+        """
+        if self.known > REMEMBERED or self.text_used > REMEMBERED_BYTES:
             self._forget()
-        out = self.table.find(hashes)
+        raw = data.tobytes()
+        row = self.table.find(hashes)
+        out = np.where(row >= 0, self.row_of[row], -1)
         miss = np.flatnonzero(out < 0)
         if len(miss):
             new, first, back = np.unique(hashes[miss], return_index=True, return_inverse=True)
@@ -86,26 +140,29 @@ class Pieces:
             where[met] = self.late_row[at[met]]
             fresh = np.flatnonzero(~met)
             if len(fresh):
-                raw, encode, at = data.tobytes(), self.encoding._core_bpe.encode_single_piece, miss[first[fresh]]
-                ids = [encode(raw[s:e]) for s, e in zip(starts[at].tolist(), ends[at].tolist())]
-                count = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-                n, m, total = self.known, len(ids), int(count.sum())
-                self._room(n + m, self.used + total)
-                self.keys[n : n + m], self.count[n : n + m] = new[fresh], count
-                self.start[n : n + m] = self.used + np.cumsum(count) - count
-                self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), dtype=self.dtype, count=total)
-                where[fresh] = np.arange(n, n + m)
-                self.known, self.used = n + m, self.used + total
-                if self.known > 1.1 * len(self.table.keys):
-                    self.table = HashTable(self.keys[: self.known].copy())
-                    self.late, self.late_row = self.late[:0], self.late_row[:0]
-                else:
-                    late = np.concatenate([self.late, new[fresh]])
-                    order = np.argsort(late)
-                    self.late, self.late_row = late[order], np.concatenate([self.late_row, where[fresh]])[order]
+                at = miss[first[fresh]]
+                where[fresh] = self._learn(data, raw, starts[at], ends[at], hard[at])
+                late = np.concatenate([self.late, new[fresh]])
+                order = np.argsort(late)
+                self.late, self.late_row = late[order], np.concatenate([self.late_row, where[fresh]])[order]
+                if len(self.late) > 1000 + 0.1 * len(self.table.keys):
+                    self._index()
             out[miss] = where[back]
+        size = ends - starts
+        same = self.size_of[out] == size
+        like = np.flatnonzero(same)
+        same[like] = same_bytes(np.concatenate([data, _SLACK]), starts[like], self.text, self.text_at[out[like]], size[like])
+        other = np.flatnonzero(~same)
+        if len(other):
+            out[other] = self._learn(data, raw, starts[other], ends[other], hard[other])
         return out
 
+    def _index(self) -> None:
+        """Move what was learnt lately into the table."""
+        self.row_of = np.concatenate([self.row_of[: len(self.table.keys)], self.late_row])
+        self.table = HashTable(np.concatenate([self.table.keys, self.late]))
+        self.late, self.late_row = self.late[:0], self.late_row[:0]
+
     def tokens(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of the texts one after the other, and the number of each text's."""
         n = len(data)
@@ -117,8 +174,6 @@ class Pieces:
         hard[after_c3[(data[after_c3] == 0x97) | (data[after_c3] == 0xB7)]] = True
         quote = np.flatnonzero(data[:-1] == 39)
         hard[quote[_CONTRACTED[data[quote + 1]]]] = True
-        text_of = np.searchsorted(offsets, np.flatnonzero(hard), side="right") - 1
-        slow = np.unique(text_of)
 
         cut = np.empty(n + 1, dtype=bool)
         cut[0] = cut[n] = True
@@ -126,29 +181,44 @@ class Pieces:
         border = np.zeros(n + 1, dtype=bool)
         border[offsets] = True
         cut |= border
+        whole = np.zeros(0, dtype=np.int64)
+        if hard.any():
+            # a text may always be cut before white space that follows a letter, digit or mark of one byte, or a plain letter of two
+            solid = (kind[:-1] != _SPACE) & ((data[:-1] < 128) | (kind[:-1] == _LETTER))
+            lead = np.flatnonzero(data[:-1] >= 0xC0)
+            unsure = lead[kind[lead] == _HARD]
+            for k in (1, 2, 3):  # the later bytes of a character that isn't a plain letter
+                more = unsure[unsure + k < n - 1] + k
+                solid[more[(data[more] & 0xC0) == 0x80]] = False
+            edge = border.copy()
+            edge[1:n] |= solid & (kind[1:] == _SPACE)
+            edges = np.flatnonzero(edge)
+            part = np.unique(np.searchsorted(edges, np.flatnonzero(hard), side="right")) - 1
+            inside = np.zeros(n + 2, dtype=np.int32)
+            np.add.at(inside, edges[part] + 1, 1)
+            np.add.at(inside, edges[part + 1], -1)
+            inside = np.cumsum(inside)[: n + 1] > 0
+            whole = edges[part]
         runs = np.flatnonzero(cut)
         ends = runs[1:]
         spaces = (kind[runs[:-1]] == _SPACE) & ~border[ends]
         ends = ends[spaces]
         cut[ends - 1] = True
         cut[ends[data[ends - 1] == 32]] = False
+        if len(whole):
+            cut[inside] = False
+            cut[whole] = True
+            cut[edges[part + 1]] = True
         edges = np.flatnonzero(cut)
         starts, ends = edges[:-1], edges[1:]
         first = np.searchsorted(starts, offsets)
-        row = self.rows(span_hashes(data, starts, ends), data, starts, ends)
+        split = np.zeros(len(starts), dtype=bool)
+        split[np.searchsorted(starts, whole)] = True
+        row = self.rows(span_hashes(data, starts, ends), data, starts, ends, split)
         count = self.count[row]
         before = np.concatenate([[0], np.cumsum(count)])
         at = np.repeat(self.start[row] - before[:-1], count) + np.arange(before[-1])
-        out, counts = self.flat[at], np.diff(before[first])
-        if len(slow):
-            parts, cuts, last = [], before[first], 0
-            for k in slow:
-                text = data[offsets[k] : offsets[k + 1]].tobytes().decode("utf-8", "replace")
-                ids = np.array(self.encoding.encode_ordinary(text), dtype=self.dtype)
-                parts += [out[last : cuts[k]], ids]
-                last, counts[k] = cuts[k + 1], len(ids)
-            out = np.concatenate([*parts, out[last:]])
-        return out, counts
+        return self.flat[at], np.diff(before[first])
 
 
 _loaded: dict[str, Pieces] = {}
@@ -181,8 +251,8 @@ def tokenize(docs: DataFrame, path: str = VOCABULARY, id_col: str = "doc_id", te
                 packed = _binary(out, np.cumsum(counts) * out.itemsize, null)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), packed], ["doc_id", "tokens"])
 
-    src = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(run, "doc_id long, tokens binary")
+    src = texts(docs, id_col, text_col)
+    return src.mapInArrow(run, with_id(src, "tokens binary"))
 
 
 def token_counts(tokens: DataFrame, wide: bool = False) -> DataFrame:
@@ -204,14 +274,15 @@ def token_counts(tokens: DataFrame, wide: bool = False) -> DataFrame:
     return tokens.select("tokens").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
-def ranks(counts: DataFrame, size: int) -> np.ndarray:
-    """Rank of every token of the vocabulary: by falling count, then by id."""
+def ranked(counts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rank of every token of the vocabulary, by falling count, then by id; and the tokens that occur, by rank."""
     n = np.zeros(size, dtype=np.int64)
     for row in counts.collect():  # no more rows than the vocabulary has tokens
         n[row["token"]] = row["n"]
+    order = np.lexsort((np.arange(size), -n))
     rank = np.empty(size, dtype=np.uint32)
-    rank[np.lexsort((np.arange(size), -n))] = np.arange(size)
-    return rank
+    rank[order] = np.arange(size)
+    return rank, order[: int((n > 0).sum())].astype(np.uint32)
 
 
 def encode(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -272,16 +343,41 @@ def encode_tokens(tokens: DataFrame, rank: np.ndarray, wide: bool = False) -> Da
                     ["doc_id", "n_tokens", "control", "data"],
                 )
 
-    return tokens.mapInArrow(run, "doc_id long, n_tokens long, control binary, data binary")
+    return tokens.mapInArrow(run, with_id(tokens, "n_tokens long, control binary, data binary"))
 
 
 def token_ids(docs: DataFrame, path: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, control, data): every row's ranks, coded as the module says.
 
     The text is tokenized once; counting and coding read the tokens from the
-    shared folder. An empty table gives no rows.
+    shared folder. Ids may be of any type. An empty table gives no rows.
     """
     bpe = pieces(path)
     wide = bpe.dtype == np.uint32
     tokens = keep(tokenize(docs, path, id_col, text_col))
-    return encode_tokens(tokens, ranks(token_counts(tokens, wide), bpe.size), wide)
+    rank, by_rank = ranked(token_counts(tokens, wide), bpe.size)
+    note = {RANKS: base64.b64encode(zlib.compress(by_rank.tobytes())).decode()}
+    return encode_tokens(tokens, rank, wide).withColumn("data", F.col("data").alias("data", metadata=note))
+
+
+#: Where the metadata of the column data has the tokens by rank.
+RANKS = "tokens_by_rank"
+
+
+def tokens_by_rank(coded: DataFrame) -> np.ndarray:
+    """The token of each rank, from the metadata of a table of coded rows."""
+    return np.frombuffer(zlib.decompress(base64.b64decode(coded.schema["data"].metadata[RANKS])), dtype=np.uint32)
+
+
+def decode_texts(coded: DataFrame, path: str = VOCABULARY) -> DataFrame:
+    """(doc_id, text) of rows that token_ids() coded, also after they were written and read; null stays null."""
+    token = tokens_by_rank(coded)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        back = pieces(path).encoding.decode
+        for batch in batches:
+            _, n, control, data = (c.to_pylist() for c in batch.columns)
+            texts_ = [None if k is None else back(token[decode(c, d, k)].tolist()) for k, c, d in zip(n, control, data)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts_, pa.string())], ["doc_id", "text"])
+
+    return coded.select("doc_id", "n_tokens", "control", "data").mapInArrow(run, with_id(coded, "text string"))
