@@ -16,17 +16,29 @@ from __future__ import annotations
 import datetime
 import hashlib
 import math
+import os
 import re
+import secrets
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.llm.storage import small_batches
+from scriptorium.llm.storage import texts, with_id
 
-KEY = b"replace-me-in-production"
 ROUNDS = 8
+#: Setting and environment variable that name the key.
+KEY_CONF, KEY_ENV = "spark.scriptorium.pii.key", "SCRIPTORIUM_PII_KEY"
+_of_application: dict[str, bytes] = {}
+
+
+def key_of(spark: SparkSession) -> bytes:
+    """The key that the session or the environment names; else one drawn for this application, so that no key is in code.
+
+    Pseudonyms of different applications are linked only where they are given the same key.
+    """
+    named = spark.conf.get(KEY_CONF, None) or os.environ.get(KEY_ENV)
+    return named.encode() if named else _of_application.setdefault(spark.sparkContext.applicationId, secrets.token_bytes(32))
 
 
 class Feistel:
@@ -169,7 +181,8 @@ def _moved(y: int, m: int, d: int, key: bytes, back: bool) -> datetime.date | No
         return None
     if not _FIRST <= day <= _LAST:
         return None
-    return datetime.date.fromordinal(_FIRST + Feistel(key, "date", _LAST - _FIRST + 1).apply(day - _FIRST, back=back))
+    late = lambda x: (datetime.date.fromordinal(_FIRST + x).day > 12) == (d > 12)
+    return datetime.date.fromordinal(_FIRST + Feistel(key, "date", _LAST - _FIRST + 1).apply(day - _FIRST, late, back))
 
 
 def date(value: str, key: bytes, back: bool = False) -> str | None:
@@ -179,10 +192,8 @@ def date(value: str, key: bytes, back: bool = False) -> str | None:
         return new and f"{new.year:04d}{m[2]}{new.month:02d}{m[2]}{new.day:02d}"
     if m := re.fullmatch(r"(\d\d)([-/.])(\d\d)\2(\d{4})", value):
         a, b = int(m[1]), int(m[3])
-        if b > 12:  # then it must be the day; its image keeps a day over 12, so that it is read likewise
+        if b > 12:  # then it must be the day, and so it is in its image
             new = _moved(int(m[4]), a, b, key, back)
-            while new and new.day <= 12:
-                new = _moved(new.year, new.month, new.day, key, back)
             return new and f"{new.month:02d}{m[2]}{new.day:02d}{m[2]}{new.year:04d}"
         new = _moved(int(m[4]), b, a, key, back)
         return new and f"{new.day:02d}{m[2]}{new.month:02d}{m[2]}{new.year:04d}"
@@ -261,22 +272,25 @@ def pseudonymise(text: str, key: bytes, found: dict[str, int] | None = None) ->
     return "".join([*out, text[done:]])
 
 
-def pseudonymise_pii(docs: DataFrame, key: bytes = KEY, text_col: str = "text") -> DataFrame:
+def pseudonymise_pii(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
     """(doc_id, text, replaced): every document's text with pseudonyms, and how many of each kind.
 
+    Where values could overlap, the one that starts first is taken, of those the
+    first kind in the order of KINDS, and of that the longest.
+
     Null text stays null and has an empty map; empty text stays empty; repeated
     rows come out alike; an empty table gives no rows. Other columns are not
-    looked at.
+    looked at, and ids may be of any type.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, counts = [], []
+            changed, counts = [], []
             for text in batch.column(1).to_pylist():
                 found: dict[str, int] = {}
-                texts.append(None if text is None else pseudonymise(text, key, found))
+                changed.append(None if text is None else pseudonymise(text, key, found))
                 counts.append(sorted(found.items()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.map_(pa.string(), pa.int64()))], ["doc_id", "text", "replaced"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(changed, pa.string()), pa.array(counts, pa.map_(pa.string(), pa.int64()))], ["doc_id", "text", "replaced"])
 
-    src = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(run, "doc_id long, text string, replaced map<string, bigint>")
+    src = texts(docs, "doc_id", text_col)
+    return src.mapInArrow(run, with_id(src, "text string, replaced map<string, bigint>"))

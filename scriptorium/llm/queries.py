@@ -51,7 +51,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise_pii(_table(spark, sf_dir, "documents"))
+    return pii.pseudonymise_pii(_table(spark, sf_dir, "documents"), pii.key_of(spark))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
