@@ -1,8 +1,10 @@
 """Media columns: PNG decoding and perceptual hashes.
 
-A PNG is read chunk by chunk; every chunk's checksum is tested. The inflated
-rows are unfiltered with numpy, all images of one shape of a batch together. Of
-the picture's brightness, averaged down to 32 x 32, the cosine transform's 8 x 8
+A PNG is read chunk by chunk; every chunk's checksum is tested, and the inflated
+data's own. Rows are unfiltered with numpy along diagonals, whose pixels depend on
+earlier diagonals only, all small images of one shape of a batch together. Larger
+and interlaced ones are inflated, unfiltered and averaged by bands of rows, so a
+picture of any size takes little memory. Of the picture's brightness, averaged down to 32 x 32, the cosine transform's 8 x 8
 lowest frequencies give 64 bits: whether each is above their median.
 """
 
@@ -19,11 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.llm.storage import id_of, with_id
+
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
 DEPTHS = {0: (1, 2, 4, 8, 16), 2: (8, 16), 3: (1, 2, 4, 8), 4: (8, 16), 6: (8, 16)}
-#: Pixels of the largest picture that is decoded.
-MOST_PIXELS = 1 << 26
+#: Bytes of inflated rows up to which a picture is decoded at once, and of a band of a larger one.
+AT_ONCE, BAND = 1 << 20, 1 << 20
+#: First row, row step, first column and column step of the passes of interlaced pictures.
+ADAM7 = ((0, 8, 0, 8), (0, 8, 4, 8), (4, 8, 0, 4), (0, 4, 2, 4), (2, 4, 0, 2), (0, 2, 1, 2), (1, 2, 0, 1))
 SIDE, LOW = 32, 8
 
 
@@ -37,10 +43,10 @@ class Header:
     height: int
     depth: int
     color: int
+    laced: bool = False
 
-    @property
-    def row_bytes(self) -> int:
-        return (self.width * CHANNELS[self.color] * self.depth + 7) // 8
+    def row_bytes(self, width: int) -> int:
+        return (width * CHANNELS[self.color] * self.depth + 7) // 8
 
     @property
     def step(self) -> int:
@@ -68,92 +74,122 @@ def chunks(data: bytes) -> Iterator[tuple[bytes, bytes]]:
         at += 12 + size
 
 
-def parse(data: bytes) -> tuple[Header, np.ndarray, np.ndarray]:
-    """Header, inflated rows with their filter bytes, and palette."""
+def read(data: bytes) -> tuple[Header, bytes, np.ndarray]:
+    """Header, compressed rows, and palette."""
     head, palette, parts = None, np.zeros((0, 3), dtype=np.uint8), []
     for kind, body in chunks(data):
         if head is None:
             if kind != b"IHDR" or len(body) != 13:
                 raise BadImage("no header")
             w, h, depth, color, method, filters, laced = struct.unpack(">IIBBBBB", body)
-            if color not in DEPTHS or depth not in DEPTHS[color] or method or filters or not w or not h:
+            if color not in DEPTHS or depth not in DEPTHS[color] or method or filters or laced > 1 or not w or not h:
                 raise BadImage("bad header")
-            if laced:
-                raise BadImage("interlaced")
-            if w * h > MOST_PIXELS:
-                raise BadImage("too large")
-            head = Header(w, h, depth, color)
+            head = Header(w, h, depth, color, bool(laced))
         elif kind == b"PLTE":
             palette = np.frombuffer(body[: len(body) // 3 * 3], dtype=np.uint8).reshape(-1, 3)
         elif kind == b"IDAT":
             parts.append(body)
         elif not kind[0] & 32 and kind != b"IEND":
             raise BadImage("unknown critical chunk")
-    want = (head.row_bytes + 1) * head.height
-    inflate = zlib.decompressobj()
-    try:
-        raw = inflate.decompress(b"".join(parts), want + 1)
-    except zlib.error as e:
-        raise BadImage("bad data") from e
-    if len(raw) != want:
-        raise BadImage("bad size")
-    rows = np.frombuffer(raw, dtype=np.uint8).reshape(head.height, head.row_bytes + 1)
-    if rows[:, 0].max() > 4:
-        raise BadImage("bad filter")
+    if head is None:
+        raise BadImage("no header")
     if head.color == 3 and not len(palette):
         raise BadImage("no palette")
+    return head, b"".join(parts), palette
+
+
+class Inflate:
+    """The rows of compressed data, as many at a time as are asked for."""
+
+    def __init__(self, body: bytes):
+        self.stream, self.left = zlib.decompressobj(), body
+
+    def _some(self, size: int) -> bytes:
+        try:
+            out = self.stream.decompress(self.left, size)
+        except zlib.error as e:
+            raise BadImage("bad data") from e
+        self.left = self.stream.unconsumed_tail
+        return out
+
+    def rows(self, n: int, row_bytes: int) -> np.ndarray:
+        """n rows, each with its filter's number first."""
+        want, parts = n * (row_bytes + 1), []
+        while want and (part := self._some(want)):
+            parts.append(part)
+            want -= len(part)
+        if want:
+            raise BadImage("bad size")
+        out = np.frombuffer(b"".join(parts), dtype=np.uint8).reshape(n, row_bytes + 1)
+        if out[:, 0].max() > 4:
+            raise BadImage("bad filter")
+        return out
+
+    def finish(self) -> None:
+        """No more may follow but the checksum, which must be there and right."""
+        if self._some(1):
+            raise BadImage("bad size")
+        if not self.stream.eof:
+            raise BadImage("truncated data")
+
+
+def parse(data: bytes) -> tuple[Header, np.ndarray, np.ndarray]:
+    """Header, all inflated rows with their filter bytes, and palette, of a picture that isn't interlaced."""
+    head, body, palette = read(data)
+    inflate = Inflate(body)
+    rows = inflate.rows(head.height, head.row_bytes(head.width))
+    inflate.finish()
     return head, rows, palette
 
 
-def unfilter(rows: np.ndarray, step: int) -> np.ndarray:
-    """Undo the filters of images [image, row, 1 + bytes] of one shape."""
+def unfilter(rows: np.ndarray, step: int, above: np.ndarray | None = None) -> np.ndarray:
+    """Undo the filters of images [image, row, 1 + bytes] of one shape; above is the row before the first.
+
+    In diagonal d, row y stands at pixel d - y. Its left neighbour and the one above
+    are in diagonal d - 1, the corner one in d - 2. In the arrays of diagonals the row
+    above has place 0, and two diagonals come before the first.
+    """
     n, h, w = rows.shape[0], rows.shape[1], rows.shape[2] - 1
-    size = -(-w // step) * step
-    out = np.zeros((n, h, size), dtype=np.uint8)
-    above = np.zeros((n, size), dtype=np.uint8)
+    kind = rows[:, :, 0]
+    if not kind.any():
+        return rows[:, :, 1:]
+    cols = -(-w // step)
+    flat = np.zeros((n, h, cols * step), dtype=np.uint8)
+    flat[:, :, :w] = rows[:, :, 1:]
+    flat = flat.reshape(n, h, cols, step)
+    slant = np.zeros((cols + h - 1, n, h, step), dtype=np.int16)
     for y in range(h):
-        now = np.zeros((n, size), dtype=np.uint8)
-        now[:, :w] = rows[:, y, 1:]
-        kind = rows[:, y, 0]
-        for k in range(1, 5):
-            i = np.flatnonzero(kind == k)
-            if not len(i):
-                continue
-            if k == 1:
-                now[i] = np.cumsum(now[i].reshape(len(i), -1, step), axis=1, dtype=np.uint8).reshape(len(i), size)
-            elif k == 2:
-                now[i] += above[i]
-            else:
-                cur, up = now[i].astype(np.int16), above[i].astype(np.int16)
-                left, corner = np.zeros((len(i), step), dtype=np.int16), np.zeros((len(i), step), dtype=np.int16)
-                for x in range(0, size, step):
-                    b = up[:, x : x + step]
-                    if k == 3:
-                        guess = (left + b) >> 1
-                    else:
-                        p = left + b - corner
-                        da, db, dc = np.abs(p - left), np.abs(p - b), np.abs(p - corner)
-                        guess = np.where((da <= db) & (da <= dc), left, np.where(db <= dc, b, corner))
-                    left = (cur[:, x : x + step] + guess) & 255
-                    cur[:, x : x + step] = left
-                    corner = b
-                now[i] = cur.astype(np.uint8)
-        out[:, y] = now
-        above = now
-    return out[:, :, :w]
-
-
-def brightness(head: Header, raw: np.ndarray, palette: np.ndarray) -> np.ndarray:
+        slant[y : y + cols, :, y] = flat[:, y].transpose(1, 0, 2)
+    done = np.zeros((cols + h + 1, n, h + 1, step), dtype=np.int16)
+    if above is not None:
+        top = np.zeros((n, cols * step), dtype=np.int16)
+        top[:, :w] = above
+        done[1 : cols + 1, :, 0] = top.reshape(n, cols, step).transpose(1, 0, 2)
+    ways = np.repeat(kind[:, :, None], step, axis=2)
+    for d in range(cols + h - 1):
+        lo, hi = max(0, d - cols + 1), min(h, d + 1)
+        left, up, corner = done[d + 1, :, lo + 1 : hi + 1], done[d + 1, :, lo:hi], done[d, :, lo:hi]
+        da, db = np.abs(up - corner), np.abs(left - corner)
+        dc = np.abs(left + up - corner - corner)
+        paeth = np.where((da <= db) & (da <= dc), left, np.where(db <= dc, up, corner))
+        guess = np.choose(ways[:, lo:hi], (np.int16(0), left, up, (left + up) >> 1, paeth))
+        done[d + 2, :, lo + 1 : hi + 1] = (slant[d, :, lo:hi] + guess) & 255
+    for y in range(h):
+        flat[:, y] = done[y + 2 : y + 2 + cols, :, y + 1].transpose(1, 0, 2)
+    return flat.reshape(n, h, cols * step)[:, :, :w]
+
+
+def brightness(head: Header, raw: np.ndarray, palette: np.ndarray, width: int) -> np.ndarray:
     """Brightness 0 to 255 of unfiltered rows; alpha is laid over black."""
-    per = CHANNELS[head.color]
+    per, n = CHANNELS[head.color], len(raw)
     if head.depth == 16:
-        v = raw.reshape(head.height, -1, 2)[:, :, 0].astype(float) + raw.reshape(head.height, -1, 2)[:, :, 1] / 256.0
+        v = raw.reshape(n, -1, 2)[:, :, 0].astype(float) + raw.reshape(n, -1, 2)[:, :, 1] / 256.0
     elif head.depth == 8:
         v = raw.astype(float)
     else:
-        bits = np.unpackbits(raw, axis=1).reshape(head.height, -1, head.depth)
+        bits = np.unpackbits(raw, axis=1).reshape(n, -1, head.depth)
         v = (bits @ (1 << np.arange(head.depth)[::-1])).astype(float)
-    v = v[:, : head.width * per].reshape(head.height, head.width, per)
+    v = v[:, : width * per].reshape(n, width, per)
     if head.color == 3:
         v = palette[np.minimum(v[:, :, 0].astype(int), len(palette) - 1)].astype(float)
     elif head.depth < 8:
@@ -162,22 +198,50 @@ def brightness(head: Header, raw: np.ndarray, palette: np.ndarray) -> np.ndarray
     return luma * (v[:, :, -1] / 255.0) if head.color in (4, 6) else luma
 
 
-def _box(n: int) -> np.ndarray:
-    """SIDE x n weights that average n samples down (or spread them) to SIDE."""
+def _box(n: int, at: np.ndarray) -> np.ndarray:
+    """For the samples at these places of n, SIDE weights each that average n samples down (or spread them) to SIDE."""
     lo, hi = np.arange(SIDE)[:, None] * n / SIDE, np.arange(1, SIDE + 1)[:, None] * n / SIDE
-    return np.clip(np.minimum(hi, np.arange(1, n + 1)) - np.maximum(lo, np.arange(n)), 0, None) * SIDE / n
+    return np.clip(np.minimum(hi, at + 1) - np.maximum(lo, at), 0, None) * SIDE / n
+
+
+def averaged(luma: np.ndarray, height: int, width: int, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """What these pixels, in those rows and columns of a picture, add to its SIDE x SIDE averages."""
+    across = sum(luma[:, k : k + 65536] @ _box(width, cols[k : k + 65536]).T for k in range(0, len(cols), 65536))
+    return _box(height, rows) @ across
+
+
+def shrink(head: Header, body: bytes, palette: np.ndarray) -> np.ndarray:
+    """The SIDE x SIDE averages of a picture of any size, interlaced or not, band by band."""
+    inflate, out = Inflate(body), np.zeros((SIDE, SIDE))
+    for y0, dy, x0, dx in ADAM7 if head.laced else ((0, 1, 0, 1),):
+        ys, xs = np.arange(y0, head.height, dy), np.arange(x0, head.width, dx)
+        if not len(ys) or not len(xs):
+            continue
+        size, above = head.row_bytes(len(xs)), None
+        band = max(1, min(256, BAND // (size + 1)))
+        for y in range(0, len(ys), band):
+            part = ys[y : y + band]
+            raw = unfilter(inflate.rows(len(part), size)[None], head.step, above)[0]
+            above = raw[-1:]
+            out += averaged(brightness(head, raw, palette, len(xs)), head.height, head.width, part, xs)
+    inflate.finish()
+    return out
 
 
 _DCT = np.cos(np.pi * (np.arange(SIDE) + 0.5)[None, :] * np.arange(LOW)[:, None] / SIDE)
 
 
-def cosine_hash(luma: np.ndarray) -> bytes:
-    """64 bits, first row first: is the frequency above the median of all but the constant one?"""
-    small = _box(luma.shape[0]) @ luma @ _box(luma.shape[1]).T
+def frequency_hash(small: np.ndarray) -> bytes:
+    """64 bits of SIDE x SIDE averages, first row first: is the frequency above the median of all but the constant one?"""
     low = np.round(_DCT @ small @ _DCT.T, 6).ravel()
     return np.packbits(low > np.median(low[1:])).tobytes()
 
 
+def cosine_hash(luma: np.ndarray) -> bytes:
+    """The hash of a picture's brightness."""
+    return frequency_hash(averaged(luma, *luma.shape, np.arange(luma.shape[0]), np.arange(luma.shape[1])))
+
+
 def decode_all(values: list[bytes | None]) -> list[tuple[str, int | None, int | None, bytes | None]]:
     """Status, width, height and hash of each value."""
     out: list = [None] * len(values)
@@ -186,16 +250,23 @@ def decode_all(values: list[bytes | None]) -> list[tuple[str, int | None, int |
         try:
             if v is None:
                 raise BadImage("null")
-            head, rows, palette = parse(v)
-            shapes[head.height, head.row_bytes, head.step].append((k, head, rows, palette))
+            head, body, palette = read(v)
+            size = head.row_bytes(head.width)
+            if head.laced or size * head.height > AT_ONCE:
+                out[k] = ("ok", head.width, head.height, frequency_hash(shrink(head, body, palette)))
+                continue
+            inflate = Inflate(body)
+            rows = inflate.rows(head.height, size)
+            inflate.finish()
+            shapes[head.height, size, head.step].append((k, head, rows, palette))
         except BadImage as e:
             out[k] = (str(e), None, None, None)
     for (_, _, step), group in shapes.items():
-        at_once = max(1, (16 << 20) // group[0][2].size)
+        at_once = max(1, AT_ONCE // group[0][2].size)
         for lo in range(0, len(group), at_once):
             part = group[lo : lo + at_once]
             for (k, head, _, palette), raw in zip(part, unfilter(np.stack([g[2] for g in part]), step)):
-                out[k] = ("ok", head.width, head.height, cosine_hash(brightness(head, raw, palette)))
+                out[k] = ("ok", head.width, head.height, cosine_hash(brightness(head, raw, palette, head.width)))
     return out
 
 
@@ -203,8 +274,8 @@ def image_hashes(images: DataFrame, id_col: str, png_col: str = "png") -> DataFr
     """(id, status, width, height, phash) of every row of a table with a PNG column.
 
     ``status`` is ``ok`` or says what is wrong; then, and for null, the others are
-    null. Interlaced pictures are not decoded. Repeated rows come out alike; an
-    empty table gives no rows. Other columns are not looked at.
+    null. Repeated rows come out alike; an empty table gives no rows. Other columns
+    are not looked at, and ids may be of any type.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,8 +285,8 @@ def image_hashes(images: DataFrame, id_col: str, png_col: str = "png") -> DataFr
                 status, width, height, phash = zip(*decode_all(part.column(1).to_pylist()))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(status), pa.array(width, pa.int32()), pa.array(height, pa.int32()), pa.array(phash, pa.binary())], ["id", "status", "width", "height", "phash"])
 
-    src = images.select(F.col(id_col).cast("long").alias("id"), F.col(png_col).cast("binary").alias("png"))
-    return src.mapInArrow(run, "id long, status string, width int, height int, phash binary").withColumnRenamed("id", id_col)
+    src = images.select(id_of(images, id_col).alias("id"), F.col(f"`{png_col}`").cast("binary").alias("png"))
+    return src.mapInArrow(run, with_id(src, "status string, width int, height int, phash binary", "id")).withColumnRenamed("id", id_col)
 
 
 def encode_png(pixels: np.ndarray, color: int, filters: np.ndarray, idat: int = 4096) -> bytes:
