@@ -26,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.storage import small_batches
+from scriptorium.llm.storage import texts as id_and_text
+from scriptorium.llm.storage import with_id
 from scriptorium.llm.textkernel import _WORD, HashTable, fold, mix, passes, span_hashes
 
 Q = 8
@@ -84,11 +85,13 @@ class Items:
         self.edits = (self.n * rate).astype(np.int64)
         self.edits = np.where(self.n < SHORTEST, np.minimum(self.edits, (self.n - Q) // Q), self.edits)
         self.exact = []
+        self.bytes_of: dict[int, np.ndarray] = {}
         for size, own in sorted(exact.items()):
             place = len(self.ids) + np.arange(len(own))
             self.ids += [i for i, _ in own]
             at = np.arange(len(own)) * size
-            keys, which, count = np.unique(span_hashes(np.concatenate([t for _, t in own]), at, at + size), return_inverse=True, return_counts=True)
+            keys, first, which, count = np.unique(span_hashes(np.concatenate([t for _, t in own]), at, at + size), return_index=True, return_inverse=True, return_counts=True)
+            self.bytes_of[size] = np.stack([own[k][1] for k in first])
             self.exact.append((size, HashTable(keys), place[np.argsort(which, kind="stable")], np.cumsum(count) - count, count))
         need = self.n - Q + 1 - Q * self.edits
         if (need < 1).any():
@@ -216,6 +219,8 @@ def _exact(low: np.ndarray, ends: np.ndarray, items: Items) -> Iterator[tuple[np
         p, row = p[row >= 0], row[row >= 0]
         if len(p):
             n = count[row]
+            same = (low[p[:, None] + np.arange(size)] == items.bytes_of[size][row]).all(axis=1)
+            p, row, n = p[same], row[same], n[same]
             which = item[np.repeat(begin[row] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
             p = np.repeat(p, n)
             yield np.searchsorted(ends, p, side="right") - 1, which, p, p + size
@@ -260,7 +265,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> D
     not looked for; repeated rows are each searched; an empty benchmark or table
     gives no rows. Other columns are not looked at.
     """
-    src = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    src = id_and_text(docs)
     out = None
     for items in _benchmark(benchmark, rate):
 
@@ -270,14 +275,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> D
                 for row, item, begin, end, edits in search(batch.column(1), items):
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(ids[item]), pa.array(begin), pa.array(end), pa.array(edits)], ["doc_id", "item_id", "begin", "end", "edits"])
 
-        part = src.mapInArrow(run, "doc_id long, item_id long, begin long, end long, edits long")
+        part = src.mapInArrow(run, with_id(src, "item_id long, begin long, end long, edits long"))
         out = part if out is None else out.unionAll(part)
     return out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """The documents that hold no item of the benchmark, with all their columns; no shuffle."""
-    at = small_batches(docs).columns.index("text")
+    at = docs.columns.index("text")
     for items in _benchmark(benchmark, rate):
 
         def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:

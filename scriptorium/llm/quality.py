@@ -6,8 +6,8 @@ normalised difference of the sizes, (bad - good) / (bad + good), is turned into
 a probability by a logistic curve that is fitted to other labelled documents.
 
 Training reads at most ``TRAIN_DOCS`` labelled documents of each class, chosen by
-a hash of their ids: half for the dictionaries, half for the curve. Scoring reads
-every document in whole.
+a hash of their ids: half for the dictionaries, half for the curve; one of more
+than ``TRAIN_CHARS`` characters is left out. Scoring reads every document in whole.
 """
 
 from __future__ import annotations
@@ -21,11 +21,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.storage import small_batches
+from scriptorium.llm.storage import join_keys, texts, with_id
 from scriptorium.llm.textkernel import utf8
 
 #: Labelled documents of each class that training reads at most.
 TRAIN_DOCS = 1000
+TRAIN_CHARS = 1_000_000
 DICTIONARY_BYTES, BLOCK, LEVEL = 64 << 10, 2048, 3
 THRESHOLD = 0.5
 
@@ -102,15 +103,16 @@ def train(good: list[str], bad: list[str], prior: float) -> Model:
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[str], float]:
     """Texts of good and of bad documents of the bounded sample, and the share of good labels."""
-    tagged = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("quality")).where("id IS NOT NULL AND quality IS NOT NULL")
+    own, other = join_keys(docs, labels, "doc_id")
+    tagged = labels.select(other.alias("id"), F.col("quality").cast("int").alias("quality")).where("id IS NOT NULL AND quality IS NOT NULL")
     tagged = tagged.groupBy("id").agg(F.min("quality").alias("quality"))
     prior = tagged.agg(F.avg((F.col("quality") == 1).cast("double"))).first()[0]
     chosen = [tagged.where(c).orderBy(F.xxhash64("id"), "id").limit(TRAIN_DOCS) for c in ("quality = 1", "quality = 0")]
     chosen = chosen[0].unionAll(chosen[1])
-    src = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
-    rows = src.join(F.broadcast(chosen), "id").select("id", "text", "quality").collect()  # 2 * TRAIN_DOCS ids at most
-    rows = sorted(dict.fromkeys((r["id"], r["text"], r["quality"]) for r in rows))
-    return [r[1] for r in rows if r[2] == 1], [r[1] for r in rows if r[2] == 0], 0.5 if prior is None else prior
+    src = docs.select(own.alias("id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
+    rows = src.where(F.length("text") <= TRAIN_CHARS).join(F.broadcast(chosen), "id").groupBy("id", "quality").agg(F.min("text").alias("text"))
+    rows = rows.orderBy("id").collect()  # 2 * TRAIN_DOCS texts at most
+    return [r["text"] for r in rows if r["quality"] == 1], [r["text"] for r in rows if r["quality"] == 0], 0.5 if prior is None else prior
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -118,8 +120,9 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     ``score`` is the calibrated probability that the text is good, ``keep`` whether
     it is at least one half. A null text has null values, an empty one difference
-    0. Repeated rows are each scored; other columns are not looked at. Of several
-    labels of one document the worst counts. With labels of one class only, all
+    0. Repeated rows are each scored; other columns are not looked at, and ids may be
+    of any type. Of several labels of one document the worst counts, and of several
+    texts the first in order is trained on. With labels of one class only, all
     documents are of that class; without labels all are kept.
     """
     model = train(*training_rows(docs, labels))
@@ -134,5 +137,5 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
             p = model.probability(x)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.float64(), mask=null), pa.array(p, pa.float64(), mask=null), pa.array(p >= THRESHOLD, pa.bool_(), mask=null)], ["doc_id", "difference", "score", "keep"])
 
-    src = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return src.mapInArrow(run, "doc_id long, difference double, score double, keep boolean")
+    src = texts(docs)
+    return src.mapInArrow(run, with_id(src, "difference double, score double, keep boolean"))

@@ -77,7 +77,3 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 def with_id(df: DataFrame, more: str, name: str = "doc_id") -> StructType:
     """A schema of df's id column, whatever its type, and more columns."""
     return StructType([StructField(name, df.schema[name].dataType), *StructType.fromDDL(more)])
-
-
-def small_batches(df: DataFrame) -> DataFrame:
-    return df
