@@ -8,6 +8,7 @@ import xml.etree.ElementTree as ET
 from xml.sax.saxutils import escape as _escape
 
 from scriptorium.functions import markers as mk
+from scriptorium.functions.labels import ordinal
 from scriptorium.operators.scan import Token, tokens
 from scriptorium.operators.trees import Builder, Node
 
@@ -184,7 +185,10 @@ class _Json:
 
 
 def usfm_to_usj(source: str) -> dict:
-    toks = tokens(source)
+    return tokens_to_usj(tokens(source))
+
+
+def tokens_to_usj(toks: list[Token]) -> dict:
     return {"type": "USJ", "version": VERSION, "content": _Json(toks).content(Builder(toks).build().children)}
 
 
@@ -258,7 +262,11 @@ def usx_version(source: str) -> str:
 
 
 def usfm_to_usx(source: str) -> str:
-    return usj_to_usx(usfm_to_usj(source), usx_version(source))
+    return tokens_to_usx(tokens(source), usx_version(source))
+
+
+def tokens_to_usx(toks: list[Token], version: str = VERSION) -> str:
+    return usj_to_usx(tokens_to_usj(toks), version)
 
 
 def _kept(text: str | None) -> list[str]:
@@ -320,9 +328,9 @@ def _element(x: dict, nested: bool) -> str:
     if kind == "book":
         return f"\\id {x.get('code', '')}{inside}\n" if inside.startswith(" ") or not inside else f"\\id {x.get('code', '')} {inside}\n"
     if kind == "chapter":
-        return f"\\c {x.get('number', '')}\n"
+        return f"\\c {x.get('number', '')}".rstrip(" ") + "\n"
     if kind == "verse":
-        return f"\\v {x.get('number', '')}"
+        return f"\\v {x.get('number', '')}".rstrip(" ")
     if kind == "para":
         return f"{_opening(name, inside)}{inside.rstrip(chr(10))}\n"
     if kind in ("char", "ref", "figure"):
@@ -372,8 +380,20 @@ def html_escape(text: str) -> str:
 
 
 class _Html:
-    def __init__(self, wrap: bool, native: bool, notes: str):
-        self.wrap, self.native, self.notes, self.collected = wrap, native, notes, []
+    def __init__(self, native: bool, notes: str, style: str, scope: str):
+        if notes not in ("extracted", "inline") or scope not in ("verse", "document"):
+            raise ValueError(f"no such option: {notes}, {scope}")
+        self.native, self.notes, self.style, self.scope = native, notes, style, scope
+        self.collected: list[str] = []
+        self.count = 0
+
+    def caller(self, x: dict) -> str:
+        """The label of a note: the source's own caller, or its number in the verse or document."""
+        own = x.get("caller", "+")
+        if self.style == "source" and own not in ("", "+", "-"):
+            return own
+        self.count += 1
+        return ordinal(self.count, self.style)
 
     def tag(self, x: dict) -> str:
         tag = _NATIVE.get(x["type"], "span") if self.native else "div" if x["type"] in ("para", "table", "table:row", "sidebar", "periph") else "span"
@@ -389,20 +409,35 @@ class _Html:
         tag = self.tag(x)
         data = {"type": kind.replace(":", "-")} | {k: v for k, v in x.items() if k not in ("type", "content")}
         attributes = "".join(f' data-usfm-{re.sub("(?<=.)([A-Z])", r"-\1", k).lower()}="{html_escape(str(v))}"' for k, v in data.items())
+        if kind in ("chapter", "verse") and self.scope == "verse":
+            self.count = 0
+        caller = html_escape(self.caller(x)) if kind == "note" else ""
         inside = html_escape(x.get("number", "")) if kind in ("chapter", "verse") else self.nodes(x.get("content", []))
         if kind == "note" and self.notes == "extracted":
-            self.collected.append(f"<li{attributes}>{inside}</li>")
-            return f'<sup class="usfm-caller">{len(self.collected)}</sup>'
+            n = len(self.collected) + 1
+            self.collected.append(f'<li id="note-{n}"{attributes}><span class="usfm-caller">{caller}</span>{inside}</li>')
+            return f'<sup class="usfm-caller"><a href="#note-{n}">{caller}</a></sup>'
+        if kind == "note":
+            inside = f'<sup class="usfm-caller">{caller}</sup>{inside}'
         return f'<{tag} class="usfm-{html_escape(x.get("marker", kind))}"{attributes}>{inside}</{tag}>'
 
 
-def usfm_to_html(source: str, wrap_root: bool = True, native: bool = True, notes: str = "inline") -> str:
-    """HTML of the semantic tree; notes stay in place (``inline``) or follow in a list (``extracted``)."""
-    w = _Html(wrap_root, native, notes)
-    body = w.nodes(usfm_to_usj(source)["content"])
+def usfm_to_html(source: str, wrap_root: bool = False, native: bool = True, notes: str = "extracted", caller_style: str = "numeric", caller_scope: str = "verse") -> str:
+    return tokens_to_html(tokens(source), wrap_root, native, notes, caller_style, caller_scope)
+
+
+def tokens_to_html(toks: list[Token], wrap_root: bool = False, native: bool = True, notes: str = "extracted", caller_style: str = "numeric", caller_scope: str = "verse") -> str:
+    """HTML of the semantic tree.
+
+    Notes follow in a list (``extracted``) or stay in place (``inline``); their labels
+    are numbers, letters, roman numerals or the source's callers, counted in each
+    ``verse`` or the ``document``.
+    """
+    w = _Html(native, notes, caller_style, caller_scope)
+    body = w.nodes(tokens_to_usj(toks)["content"])
     if w.collected:
         body += f'<ol class="usfm-notes">{"".join(w.collected)}</ol>'
-    return f'<div class="usfm">{body}</div>' if wrap_root else body
+    return f'<div data-usfm-root="true">{body}</div>' if wrap_root else body
 
 
 def to_json(usj: dict) -> str:

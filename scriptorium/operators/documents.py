@@ -9,14 +9,21 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.operators import convert, formatting, trees
+from pyspark.sql.types import StructField, StructType
+
+from scriptorium.functions import markers as mk
+from scriptorium.functions.spread import spread
+from scriptorium.operators import convert, formatting, issues, relations, trees
 from scriptorium.operators import stack_lint as stack_rules
 from scriptorium.operators.align import align
-from scriptorium.operators.scan import tokens
+from scriptorium.operators.columns import Tokens, passes
+from scriptorium.operators.scan import Token, tokens
+from scriptorium.plans.nodes import WITHOUT
 
 
 def _each(docs: DataFrame, name: str, make: Callable[[str], str], column: str = "source") -> DataFrame:
@@ -34,19 +41,40 @@ def _each(docs: DataFrame, name: str, make: Callable[[str], str], column: str =
                     errors.append(f"{type(e).__name__}: {e}")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), pa.array(errors, pa.string())], ["doc_id", name, "error"])
 
-    return docs.select("doc_id", F.col(column).cast("string")).mapInArrow(run, f"doc_id {id_type}, {name} string, error string")
+    return spread(docs.select("doc_id", F.col(column).cast("string"))).mapInArrow(run, f"doc_id {id_type}, {name} string, error string")
+
+
+def _from_tokens(docs: DataFrame, name: str, make: Callable[[list[Token], str], str]) -> DataFrame:
+    """As _each(), from the tokens of sources, which are made for a batch at a time; make also gets the source."""
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, offsets in passes(batch.column(1)):
+                t, out, errors = Tokens(data, offsets), [], []
+                for d, null in enumerate(batch.column(1).slice(lo, hi - lo).is_null().to_pylist()):
+                    try:
+                        out.append(None if null else make(t.listed(d), t.raw[offsets[d] : offsets[d + 1]].decode()))
+                        errors.append(None)
+                    except Exception as e:  # a faulty document must not end the job
+                        out.append(None)
+                        errors.append(f"{type(e).__name__}: {e}")
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(out, pa.string()), pa.array(errors, pa.string())], ["doc_id", name, "error"])
+
+    return spread(docs.select("doc_id", F.col("source").cast("string"))).mapInArrow(run, f"doc_id {id_type}, {name} string, error string")
 
 
 def to_usj(docs: DataFrame) -> DataFrame:
-    return _each(docs, "usj", lambda s: convert.to_json(convert.usfm_to_usj(s)))
+    return _from_tokens(docs, "usj", lambda toks, _: convert.to_json(convert.tokens_to_usj(toks)))
 
 
 def to_usx(docs: DataFrame) -> DataFrame:
-    return _each(docs, "usx", convert.usfm_to_usx)
+    return _from_tokens(docs, "usx", lambda toks, s: convert.tokens_to_usx(toks, convert.usx_version(s)))
 
 
-def to_html(docs: DataFrame, wrap_root: bool = True, native: bool = True, notes: str = "inline") -> DataFrame:
-    return _each(docs, "html", lambda s: convert.usfm_to_html(s, wrap_root, native, notes))
+def to_html(docs: DataFrame, **options) -> DataFrame:
+    """Options are those of convert.tokens_to_html()."""
+    return _from_tokens(docs, "html", lambda toks, _: convert.tokens_to_html(toks, **options))
 
 
 def from_usj(docs: DataFrame, column: str = "usj") -> DataFrame:
@@ -67,21 +95,13 @@ def syntax_tree(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, text in enumerate(batch.column(1).to_pylist()):
-                toks = tokens(text or "")
-                tree = trees.syntax_parents(toks)
-                n = len(toks)
-                columns = [
-                    batch.column(0).take(pa.array([k] * n, pa.int64())),
-                    pa.array(range(n), pa.int32()),
-                    pa.array([t.kind for t in toks], pa.string()),
-                    pa.array([t.marker for t in toks], pa.string()),
-                    pa.array([p for p, _ in tree], pa.int32()),
-                    pa.array([d for _, d in tree], pa.int32()),
-                ]
+            for lo, hi, data, offsets in passes(batch.column(1)):
+                t = Tokens(data, offsets)
+                tree = [x for d in range(hi - lo) for x in trees.syntax_parents(t.listed(d))]
+                columns = [batch.column(0).slice(lo, hi - lo).take(pa.array(t.doc)), pa.array(t.idx, pa.int32()), t.kinds(), t.marker_names(), pa.array([p for p, _ in tree], pa.int32()), pa.array([x for _, x in tree], pa.int32())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "idx", "kind", "marker", "parent_idx", "depth"])
 
-    return docs.select("doc_id", F.col("source").cast("string")).mapInArrow(run, f"doc_id {id_type}, idx int, kind string, marker string, parent_idx int, depth int")
+    return spread(docs.select("doc_id", F.col("source").cast("string"))).mapInArrow(run, f"doc_id {id_type}, idx int, kind string, marker string, parent_idx int, depth int")
 
 
 def stack_lint(docs: DataFrame) -> DataFrame:
@@ -106,15 +126,20 @@ def stack_lint(docs: DataFrame) -> DataFrame:
                 ["doc_id", "code", "idx", "related_idx", "marker", "sid"],
             )
 
-    return docs.select("doc_id", F.col("source").cast("string")).mapInArrow(run, f"doc_id {id_type}, code string, idx int, related_idx int, marker string, sid string")
+    return spread(docs.select("doc_id", F.col("source").cast("string"))).mapInArrow(run, f"doc_id {id_type}, code string, idx int, related_idx int, marker string, sid string")
 
 
 def formatted(docs: DataFrame, only: list[str] | None = None, excluding: list[str] | None = None) -> DataFrame:
     """(doc_id, formatted, error): documents after the format rules; the default ones, ``only`` some, or without some."""
+    rules = _rules(only, excluding)
+    return _from_tokens(docs, "formatted", lambda toks, _: "".join(p.text for p in formatting.format_tokens(toks, rules)))
+
+
+def _rules(only: list[str] | None, excluding: list[str] | None) -> frozenset[str]:
     rules = frozenset(only) if only is not None else formatting.DEFAULT - frozenset(excluding or [])
     if unknown := rules - frozenset(formatting.RULES):
         raise ValueError(f"no such format rules: {sorted(unknown)}")
-    return _each(docs, "formatted", lambda s: formatting.format_usfm(s, rules))
+    return rules
 
 
 def aligned(diffs: DataFrame) -> DataFrame:
@@ -135,3 +160,139 @@ def aligned(diffs: DataFrame) -> DataFrame:
 
     changed = diffs.where("status = 'Modified'").select("doc_id", "block_id", "original_text", "current_text")
     return changed.mapInArrow(run, f"doc_id {id_type}, block_id string, side string, idx int, text string, change string, counterpart int")
+
+
+def streamed(stream: DataFrame, schema: str, make: Callable[[Tokens], relations.Made]) -> DataFrame:
+    """As relations.over(), of a token stream (doc_id, idx, kind, text and, if it has them, marker, sid, id) instead of sources.
+
+    A document's tokens are gathered in one row, as its source would be. Without a
+    column ``sid`` one is made of book, chapter and verse, if it has these.
+    """
+    has = set(stream.columns)
+    text = lambda c: F.col(c).cast("string") if c in has else F.lit(None).cast("string")
+    sid = text("sid") if "sid" in has or not {"book", "chapter", "verse"} <= has else F.concat("book", F.lit(" "), F.col("chapter").cast("string"), F.lit(":"), F.col("verse").cast("string"))
+    one = F.struct("idx", F.col("kind").cast("string"), text("text").alias("text"), text("marker").alias("marker"), sid.alias("sid"), text("id").alias("id"))
+    docs = stream.groupBy("doc_id").agg(F.array_sort(F.collect_list(one)).alias("tokens"))
+    out = StructType([StructField("doc_id", stream.schema["doc_id"].dataType), *StructType.fromDDL(schema)])
+    own_sid, own_id = "sid" in has or {"book", "chapter", "verse"} <= has, "id" in has
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(1)
+            flat = column.flatten()
+            kind, text_, marker, sids, ids = (flat.field(k).to_pylist() for k in range(1, 6))
+            t = Tokens.given(column.value_lengths().to_pylist(), kind, [x or "" for x in text_], marker, sids if own_sid else None, ids if own_id else None)
+            doc, columns = make(t)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc, pa.int64())), *columns], out.names)
+
+    return docs.mapInArrow(run, out)
+
+
+def lint_stream(stream: DataFrame, enabled: list[str] | None = None, disabled: list[str] | None = None) -> DataFrame:
+    """relations.lint() of a token stream."""
+    return streamed(stream, relations.LINT_SCHEMA, relations.lint_rows(issues.allowed(enabled, disabled)))
+
+
+def lint_stream_issues(stream: DataFrame, enabled: list[str] | None = None, disabled: list[str] | None = None, implicit_verses: bool = False) -> DataFrame:
+    """relations.lint_issues() of a token stream; here texts can hold markers and numbers can be none."""
+    return streamed(stream, issues.SCHEMA, relations.issue_rows(issues.allowed(enabled, disabled), implicit_verses))
+
+
+def _pieces(t: Tokens, rules: frozenset[str]) -> relations.Made:
+    doc, rows = [], []
+    for d in range(len(t.counts)):
+        own = formatting.format_tokens(t.listed(d), rules)
+        doc += [d] * len(own)
+        rows += [(k, p.kind, p.text, p.marker) for k, p in enumerate(own)]
+    kinds = (pa.int32(), pa.string(), pa.string(), pa.string())
+    return np.array(doc, dtype=np.int64), [pa.array([r[c] for r in rows], kind) for c, kind in enumerate(kinds)]
+
+
+def formatted_stream(stream: DataFrame, only: list[str] | None = None, excluding: list[str] | None = None) -> DataFrame:
+    """(doc_id, idx, kind, text, marker): a token stream after the format rules."""
+    rules = _rules(only, excluding)
+    return streamed(stream, "idx int, kind string, text string, marker string", lambda t: _pieces(t, rules))
+
+
+def html_stream(stream: DataFrame, **options) -> DataFrame:
+    """(doc_id, html) of a token stream."""
+    return streamed(stream, "html string", lambda t: (np.arange(len(t.counts)), [pa.array([convert.tokens_to_html(t.listed(d), **options) for d in range(len(t.counts))], pa.string())]))
+
+
+def vref_stream(stream: DataFrame) -> DataFrame:
+    """(doc_id, ref, text) of a token stream."""
+    return streamed(stream, "ref string, text string", relations.verse_rows)
+
+
+def blocks_stream(stream: DataFrame) -> DataFrame:
+    """relations.blocks() of a token stream."""
+    return streamed(stream, relations.BLOCK_SCHEMA, relations.block_rows)
+
+
+def recovered(stream: DataFrame) -> DataFrame:
+    """(doc_id, idx, piece, kind, text): texts of a token stream (doc_id, idx, kind, text) in which a known marker stands, cut in their parts."""
+    out = StructType([StructField("doc_id", stream.schema["doc_id"].dataType), *StructType.fromDDL("idx int, piece int, kind string, text string")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for k, (idx, text) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                rows += [(k, idx, n, p.kind, p.text) for n, p in formatting.recovered(text)]
+            at = pa.array([r[0] for r in rows], pa.int64())
+            kinds = (pa.int32(), pa.int32(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), *(pa.array([r[c] for r in rows], kind) for c, kind in enumerate(kinds, 1))], out.names)
+
+    return stream.where("kind = 'Text'").select("doc_id", F.col("idx").cast("int"), "text").mapInArrow(run, out)
+
+
+def usj_nodes(docs: DataFrame) -> DataFrame:
+    """(doc_id, nth, type, marker): the nodes of each document's JSON that have a marker, depth first, but for end markers that close nothing."""
+    out = StructType([StructField("doc_id", docs.schema["doc_id"].dataType), *StructType.fromDDL("nth bigint, type string, marker string")])
+
+    def walk(node: object) -> Iterator[tuple[str, str]]:
+        for x in node.get("content", []) if isinstance(node, dict) else []:
+            if isinstance(x, dict):
+                stray = x["type"] == "unknown" and mk.kind(x.get("marker", "")) is not None
+                if x.get("marker") is not None and x["marker"] not in WITHOUT and not stray:
+                    yield x["type"], x["marker"]
+                yield from walk(x)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(k, n, *x) for k, text in enumerate(batch.column(1).to_pylist()) for n, x in enumerate(walk(convert.usfm_to_usj(text or "")), 1)]
+            at = pa.array([r[0] for r in rows], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), *(pa.array([r[c] for r in rows], kind) for c, kind in ((1, pa.int64()), (2, pa.string()), (3, pa.string())))], out.names)
+
+    return spread(docs.select("doc_id", F.col("source").cast("string"))).mapInArrow(run, out)
+
+
+def _trip(docs: DataFrame, there: Callable[[str], str], back: Callable[[str], str]) -> DataFrame:
+    """(doc_id, same): whether the markup that a conversion gives when converted back stays what it is, converted there and back again.
+
+    A source may be spaced otherwise than the markup that is made from a
+    conversion; so the first way back may change it, but no later one.
+    """
+
+    def same(text: str) -> str:
+        made = back(there(text))
+        return str(back(there(made)) == made and there(back(there(made))) == there(made)).lower()
+
+    return _each(docs, "same", same).select("doc_id", F.coalesce(F.col("same").cast("boolean"), F.lit(False)).alias("same"))
+
+
+def usj_round_trip(docs: DataFrame) -> DataFrame:
+    return _trip(docs, lambda s: convert.to_json(convert.usfm_to_usj(s)), lambda s: convert.usj_to_usfm(json.loads(s)))
+
+
+def usx_round_trip(docs: DataFrame) -> DataFrame:
+    return _trip(docs, convert.usfm_to_usx, convert.usx_to_usfm)
+
+
+def faults(docs: DataFrame) -> DataFrame:
+    """(faults, documents): documents that a conversion or the formatter couldn't read, of all."""
+    parts = [to_usj(docs), to_usx(docs), to_html(docs), formatted(docs), usx_to_usj(to_usx(docs).drop("error"))]
+    bad = None
+    for p in parts:
+        own = p.agg(F.count_if(F.col("error").isNotNull()).alias("n"))
+        bad = own if bad is None else bad.unionAll(own)
+    return bad.agg(F.sum("n").cast("bigint").alias("faults")).crossJoin(docs.agg(F.count("*").alias("documents")))

@@ -70,6 +70,15 @@ def _recovered(p: Piece) -> list[Piece] | None:
     return [x for x in (Piece("Text", p.text[: m.start()]), Piece("Marker", "\\" + found[1], found[1]), Piece("Text", rest)) if x.text]
 
 
+def recovered(text: str) -> list[tuple[int, Piece]]:
+    """The parts, with their places, of a text in which a known marker stands before a space or tab; none if there isn't one."""
+    kinds = {"Marker": 1}
+    out: list[tuple[int, Piece]] = []
+    for p in _recovered(Piece("Text", text)) or []:
+        out.append((kinds.get(p.kind, 2 if out and out[-1][0] == 1 else 0), p))
+    return out
+
+
 def _push(out: list[Piece], p: Piece) -> None:
     if p.kind == "Text" and out and out[-1].kind == "Text":
         out[-1].text += p.text

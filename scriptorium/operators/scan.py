@@ -10,11 +10,11 @@ import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
+from scriptorium.functions.numbers import number_at
 from scriptorium.plans.tokens import ENTRY, LEXEME, MOST, NUMBERED
 
 _LEXEME = re.compile(LEXEME)
 _ENTRY = re.compile(ENTRY)
-_NUMBER = re.compile(r"[0-9]+[^\W\d_]*(?:\u200f?[-,][0-9]+[^\W\d_]*)*")
 _NAME = re.compile(r"\+?[a-z]+[0-9]*(?:-[0-9]+|-[se])?")
 _BOOK = re.compile(r"[A-Za-z0-9]{3}[\x00-\x7f]*", re.S)
 
@@ -59,9 +59,9 @@ def pieces(source: str) -> Iterator[tuple[str, str, str | None, int | None]]:
         if kind == "Text" and waits == "id" and _BOOK.fullmatch(lexeme):
             yield "BookCode", lexeme[:3], None, None
             lexeme = lexeme[3:]
-        elif kind == "Text" and waits in NUMBERED and (n := _NUMBER.match(lexeme)) and 0 < int(re.match("[0-9]+", lexeme)[0]) <= MOST:
-            yield "Number", n[0], None, int(re.match("[0-9]+", lexeme)[0])
-            lexeme = lexeme[n.end() :]
+        elif kind == "Text" and waits in NUMBERED and (n := number_at(lexeme)) and 0 < int(re.match("[0-9]+", lexeme)[0]) <= MOST:
+            yield "Number", n, None, int(re.match("[0-9]+", lexeme)[0])
+            lexeme = lexeme[len(n) :]
         if lexeme:
             yield kind, lexeme, marker, None
         if kind not in ("Whitespace", "Newline"):

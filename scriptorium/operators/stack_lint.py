@@ -6,13 +6,18 @@ from typing import NamedTuple
 
 from scriptorium.functions import markers as mk
 from scriptorium.operators.scan import Token
-from scriptorium.plans.lint import BODY
+from scriptorium.plans.lint import BODY, NOTES
 
-NOTES = ("f", "fe", "ef", "x", "ex")
 _SLOTS = ("BookHeaders", "BookTitles", "BookIntroduction", "BookIntroductionEndTitles")
 _DIVIDED, _STANDALONE = ("FRT", "INT", "BAK", "OTH"), ("CNC", "GLO", "TDX", "NDX")
 
 
+CODES = frozenset((
+    "paragraph-before-first-chapter", "verse-outside-explicit-paragraph", "note-submarker-outside-note", "marker-not-valid-in-context", "unclosed-note",
+    "char-not-closed", "stray-close-marker", "misnested-close-marker", "implicitly-closed-marker", "unclosed-marker",
+))
+
+
 class Issue(NamedTuple):
     code: str
     idx: int
@@ -161,9 +166,9 @@ def balance_issues(toks: list[Token]) -> list[Issue]:
     return out
 
 
-def issues(toks: list[Token]) -> list[Issue]:
+def issues(toks: list[Token], implicit_verses: bool = False) -> list[Issue]:
     """All of them in order, the first of those with one code, token and related token."""
     first: dict[tuple, Issue] = {}
-    for i in context_issues(toks) + balance_issues(toks):
+    for i in context_issues(toks, implicit_verses) + balance_issues(toks):
         first.setdefault((i.code, i.idx, i.related_idx), i)
     return list(first.values())

@@ -49,29 +49,26 @@ coalesced AS (
   UNION ALL SELECT doc_id, max(CASE WHEN side = 'Deleted' OR n = 1 THEN block_id END), semantic_sid, min(book), min(chapter), max(original_text), max(current_text)
   FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, semantic_sid, nth) AS n FROM lone) z GROUP BY doc_id, semantic_sid, nth),
 plain AS (SELECT *, {_plain(d, "original_text")} AS original_text_only, {_plain(d, "current_text")} AS current_text_only FROM coalesced),
-diffs AS (SELECT doc_id, block_id, semantic_sid, book, chapter, original_text, current_text, original_text_only, current_text_only,
+diffs AS (SELECT doc_id, block_id, semantic_sid, book, chapter, coalesce(original_text, '') AS original_text, coalesce(current_text, '') AS current_text,
+    coalesce(original_text_only, '') AS original_text_only, coalesce(current_text_only, '') AS current_text_only,
     CASE WHEN original_text IS NULL THEN 'Added' WHEN current_text IS NULL THEN 'Deleted' WHEN original_text = current_text THEN 'Unchanged' ELSE 'Modified' END AS status,
     CASE WHEN current_text IS NULL THEN 'Original' ELSE 'Current' END AS undo_side,
     coalesce(original_text <> current_text AND {tight("original_text")} = {tight("current_text")}, false) AS is_whitespace_change,
-    coalesce({tight("original_text")} <> {tight("current_text")} AND {tight("original_text_only")} = {tight("current_text_only")}, false) AS is_usfm_structure_change
+    CASE WHEN original_text IS NULL THEN current_text_only = '' WHEN current_text IS NULL THEN original_text_only = ''
+      ELSE {tight("original_text")} <> {tight("current_text")} AND {tight("original_text_only")} = {tight("current_text_only")} END AS is_usfm_structure_change
   FROM plain)"""
 
 
 def reverted(d: Spark, baseline: str, current: str, sids: str) -> str:
-    """(doc_id, source): current text in which the blocks of these references are those of the baseline again.
+    """(doc_id, source): current text in which the blocks of these references, that have one block each, are those of the baseline again.
 
-    A block that only the baseline has comes back after its nearest predecessor
-    that survives, else first.
+    Blocks that only the baseline has stay away: where they go depends on the
+    blocks that are there when they are put back, which SQL can't follow.
     """
     return f"""WITH {blocks(d, baseline, "a_")},
 {blocks(d, current, "b_")},
-a_own AS (SELECT *, row_number() OVER (PARTITION BY doc_id, semantic_sid ORDER BY begin) AS nth FROM a_blocks),
-b_own AS (SELECT *, row_number() OVER (PARTITION BY doc_id, semantic_sid ORDER BY begin) AS nth FROM b_blocks),
-a_near AS (SELECT a.*, b.end_exclusive AS stands FROM a_own a LEFT JOIN b_own b ON b.doc_id = a.doc_id AND b.semantic_sid = a.semantic_sid AND b.nth = a.nth),
-a_anchor AS (SELECT *, coalesce({d.last("stands")} OVER (PARTITION BY doc_id ORDER BY begin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS anchor FROM a_near),
-parts AS (
-  SELECT b.doc_id, b.begin AS k1, CAST(1 AS BIGINT) AS k2, CASE WHEN {sids.replace("sid", "b.semantic_sid")} THEN coalesce(a.text_full, '') ELSE b.text_full END AS part
-  FROM b_own b LEFT JOIN a_own a ON a.doc_id = b.doc_id AND a.semantic_sid = b.semantic_sid AND a.nth = b.nth
-  UNION ALL SELECT doc_id, anchor, CAST(0 AS BIGINT), text_full FROM a_anchor WHERE stands IS NULL AND {sids.replace("sid", "semantic_sid")}),
-ordered AS (SELECT doc_id, part, row_number() OVER (PARTITION BY doc_id ORDER BY k1, k2, part) AS k FROM parts)
-SELECT doc_id, {d.joined("k", "part")} AS source FROM ordered GROUP BY doc_id"""
+a_own AS (SELECT doc_id, semantic_sid, count(*) AS times, min(text_full) AS text_full FROM a_blocks GROUP BY doc_id, semantic_sid),
+b_own AS (SELECT *, count(*) OVER (PARTITION BY doc_id, semantic_sid) AS times FROM b_blocks),
+parts AS (SELECT b.doc_id, b.begin AS k, CASE WHEN {sids.replace("sid", "b.semantic_sid")} AND b.times = 1 AND coalesce(a.times, 1) = 1 THEN coalesce(a.text_full, '') ELSE b.text_full END AS part
+  FROM b_own b LEFT JOIN a_own a ON a.doc_id = b.doc_id AND a.semantic_sid = b.semantic_sid)
+SELECT doc_id, {d.joined("k", "part")} AS source FROM parts GROUP BY doc_id"""

@@ -30,3 +30,12 @@ edits AS (SELECT doc_id, id, CASE WHEN kind = 'Newline' THEN 'delete' WHEN kind
   FROM near WHERE (kind = 'Newline' AND bk = 'Newline') OR (kind = 'Number' AND bk = 'Marker' AND bm = 'c' AND coalesce(ak, '') <> 'Newline')
     OR (kind = 'Text' AND bk = 'Marker' AND coalesce(bs, 'Unknown') NOT IN ('Milestone') AND NOT (bs IS NULL AND bm LIKE 'z%') AND NOT {d.like("bt", "[ " + chr(9) + "]$")} AND NOT {d.like("text", "^[ " + chr(9) + "]")})),
 {edited(d)} SELECT doc_id, idx, kind, text FROM edited_tokens"""
+
+
+def given(d: Spark, docs: str) -> str:
+    """Documents' tokens after a table of edits: of every 50 tokens one deleted, one replaced and one followed by another, or deleted too."""
+    mark = f"concat('<', CAST(idx AS STRING), '>')"
+    return f"""WITH {ctes(d, docs)},
+edits AS (SELECT doc_id, id, CASE idx % 50 WHEN 3 THEN 'delete' WHEN 4 THEN 'replace' ELSE 'insert' END AS action, CASE WHEN idx % 50 <> 3 THEN {mark} END AS new_text FROM tokens WHERE idx % 50 IN (3, 4, 5)
+  UNION ALL SELECT doc_id, id, 'delete', {mark} FROM tokens WHERE idx % 50 = 5 AND doc_id % 2 = 0),
+{edited(d)} SELECT doc_id, idx, kind, text FROM edited_tokens"""

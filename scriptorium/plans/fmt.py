@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+from scriptorium.functions import markers as mk
 from scriptorium.functions.dialect import Spark
 from scriptorium.plans.lint import BODY, with_catalog
 from scriptorium.functions.markers import sql_list
@@ -27,27 +30,74 @@ def line_start_space(d: Spark, docs: str) -> str:
 
 
 def bridge_verses(d: Spark, docs: str) -> str:
-    """Runs of verse markers that follow each other directly, by one each, as one range."""
+    """Verses whose markers follow each other with no text between, by one each, become one range at the first."""
+    space = " " + chr(9) + chr(10) + chr(13)
     return f"""WITH {ctes(d, docs)},
-v AS (SELECT doc_id, idx, num_start, coalesce(num_end, num_start) AS num_last, chapter, book FROM tokens WHERE kind = 'Number' AND pk = 'Marker' AND pm = 'v' AND num_kind IN ('Single', 'Range')),
-s AS (SELECT *, sum(CASE WHEN num_start = before + 1 AND idx - last_idx <= 3 THEN 0 ELSE 1 END) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run
-  FROM (SELECT *, lag(num_last) OVER ({W}) AS before, lag(idx) OVER ({W}) AS last_idx FROM v) z)
-SELECT doc_id, book, chapter, min(idx) AS idx, CAST(min(num_start) AS STRING) AS low, CASE WHEN min(num_start) = max(num_last) THEN CAST(min(num_start) AS STRING) ELSE concat(CAST(min(num_start) AS STRING), '-', CAST(max(num_last) AS STRING)) END AS verses
-FROM s GROUP BY doc_id, run, book, chapter"""
+spaced AS (SELECT *, idx - sum(CASE WHEN kind = 'Text' AND {d.like('text', '^[' + space + ']*$')} THEN 1 ELSE 0 END) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS full_idx FROM tokens),
+v AS (SELECT doc_id, idx, full_idx, num_start FROM spaced WHERE kind = 'Number' AND pk = 'Marker' AND pm = 'v'),
+s AS (SELECT *, sum(CASE WHEN num_start = before + 1 AND full_idx = last_idx + 2 THEN 0 ELSE 1 END) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run
+  FROM (SELECT *, lag(num_start) OVER ({W}) AS before, lag(full_idx) OVER ({W}) AS last_idx FROM v) z),
+r AS (SELECT doc_id, min(idx) AS head, max(idx) AS tail, min(num_start) AS low, max(num_start) AS high FROM s GROUP BY doc_id, run HAVING count(*) > 1)
+SELECT t.doc_id, t.idx, t.kind, CASE WHEN t.idx = r.head THEN concat({d.extract('t.text', '^[' + space + ']*')}, CAST(r.low AS STRING), '-', CAST(r.high AS STRING), {d.extract('t.text', '[' + space + ']*$')}) ELSE t.text END AS text
+FROM tokens t LEFT JOIN r ON r.doc_id = t.doc_id AND t.idx BETWEEN r.head AND r.tail WHERE r.head IS NULL OR t.idx = r.head"""
+
+
+OWN_LINE = "p m pi pi1 pi2 pi3 pi4 ms ms1 ms2 ms3 li li1 li2 li3 li4 b".split()
+NEW_LINE = "cl cd d sp r mr sr s s1 s2 s3 s4".split()
+POETRY = "q q1 q2 q3 q4 q5 qc qa qm qm1 qm2 qm3 qd".split()
 
 
 def structural_linebreaks(d: Spark, docs: str) -> str:
-    """Paragraph, chapter and verse markers that don't start a line."""
-    return f"""WITH {ctes(d, docs)}, known AS ({with_catalog(d, ["scope_kind"])}), n AS (SELECT *, lag(kind) OVER ({W}) AS before FROM known)
-      SELECT doc_id, idx, marker FROM n WHERE kind = 'Marker' AND before IS NOT NULL AND before <> 'Newline' AND (scope_kind IN ('Block', 'Chapter', 'Header', 'Periph', 'Sidebar', 'TableRow') OR marker = 'v')"""
+    """(doc_id, formatted): line breaks before markers that start a line, after those that stand alone and after chapter numbers."""
+    alone = f"(marker IN ({sql_list(OWN_LINE)}) OR scope_kind IS NULL OR {d.replace('marker', '^[+]', '')} LIKE 'z%')"
+    starts = f"({alone} OR marker IN ({sql_list(NEW_LINE + POETRY)}))"
+    return f"""WITH {ctes(d, docs)}, known AS ({with_catalog(d, ["scope_kind"])}),
+n AS (SELECT *, lead(kind) OVER ({W}) AS after FROM known),
+w AS (SELECT *, coalesce(after, '') <> 'Newline' AND (CASE WHEN kind = 'Marker' THEN CASE WHEN marker IN ({sql_list(POETRY)}) THEN coalesce(after, '') = 'Marker' ELSE {alone} END
+    ELSE kind = 'Number' AND pk = 'Marker' AND pm = 'c' END) AS breaks FROM n),
+p AS (SELECT *, lag(kind) OVER ({W}) AS before, lag(breaks) OVER ({W}) AS broken FROM w)
+SELECT doc_id, {d.joined('idx', f"concat(CASE WHEN kind = 'Marker' AND {starts} AND before IS NOT NULL AND before <> 'Newline' AND NOT broken THEN {d.newline} ELSE '' END, text, CASE WHEN breaks THEN {d.newline} ELSE '' END)")} AS formatted FROM p GROUP BY doc_id"""
+
+
+def whole(d: Spark, docs: str, rule) -> str:
+    """(doc_id, formatted): the texts of a rule's rows joined."""
+    return f"SELECT doc_id, {d.joined('idx', 'text')} AS formatted FROM ({rule(d, docs)}) z GROUP BY doc_id"
+
+
+def duplicate_numbers(d: Spark, docs: str) -> str:
+    """Text after a verse number loses the same number at its start."""
+    lead = d.extract("text", "^[ " + chr(9) + "]*")
+    return f"""WITH {ctes(d, docs)}, n AS (SELECT *, lag(kind) OVER ({W}) AS bk, lag(text) OVER ({W}) AS bt, lag(pk) OVER ({W}) AS bpk, lag(pm) OVER ({W}) AS bpm FROM tokens),
+      m AS (SELECT *, {lead} AS space, {d.replace('bt', '^[ ' + chr(9) + chr(10) + chr(13) + ']+|[ ' + chr(9) + chr(10) + chr(13) + ']+$', '')} AS number FROM n)
+      SELECT doc_id, idx, kind, CASE WHEN kind = 'Text' AND bk = 'Number' AND bpk = 'Marker' AND bpm = 'v' AND starts_with(substr(text, length(space) + 1), number) THEN concat(space, substr(text, length(space) + length(number) + 1)) ELSE text END AS text FROM m"""
+
+
+def paragraph_space(d: Spark, docs: str) -> str:
+    """Text after a marker that starts a line begins with one space at most."""
+    alone = f"(bm IN ({sql_list(OWN_LINE + NEW_LINE + POETRY)}) OR bs IS NULL OR {d.replace('bm', '^[+]', '')} LIKE 'z%')"
+    return f"""WITH {ctes(d, docs)}, known AS ({with_catalog(d, ["scope_kind"])}), n AS (SELECT *, lag(kind) OVER ({W}) AS bk, lag(marker) OVER ({W}) AS bm, lag(scope_kind) OVER ({W}) AS bs FROM known)
+      SELECT doc_id, idx, kind, CASE WHEN kind = 'Text' AND bk = 'Marker' AND {alone} THEN {d.replace('text', '^ +', ' ')} ELSE text END AS text FROM n"""
+
+
+def inline_separators(d: Spark, docs: str) -> str:
+    """A space between markers, numbers and texts that touch, but for characters, notes and milestones."""
+    like = "('Marker', 'EndMarker', 'Number', 'Text')"
+    inline = "('Character', 'Note', 'Milestone')"
+    return f"""WITH {ctes(d, docs)}, known AS ({with_catalog(d, ["scope_kind"])}), n AS (SELECT *, lag(kind) OVER ({W}) AS bk, lag(text) OVER ({W}) AS bt, lag(scope_kind) OVER ({W}) AS bs FROM known)
+      SELECT doc_id, idx, kind, CASE WHEN kind IN {like} AND bk IN {like} AND coalesce(scope_kind, '') NOT IN {inline} AND coalesce(bs, '') NOT IN {inline}
+        AND NOT {d.like('bt', '[ ' + chr(9) + chr(10) + chr(13) + ']$')} AND NOT {d.like('text', '^[ ' + chr(9) + chr(10) + chr(13) + ']')} THEN concat(' ', text) ELSE text END AS text FROM n"""
 
 
 def default_paragraph(d: Spark, docs: str) -> str:
-    """Verses that a paragraph marker has to be put before: the first of a chapter without one."""
-    now = f"({W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-    return f"""WITH {ctes(d, docs)},
-n AS (SELECT *, {d.last(f"CASE WHEN kind = 'Marker' AND marker = 'c' THEN 'c' WHEN kind = 'Marker' AND marker IN ({sql_list(BODY)}) THEN 'p' WHEN kind = 'Marker' AND marker = 'v' THEN 'v' END")} OVER {now} AS last_block FROM tokens)
-SELECT doc_id, idx, book, chapter FROM n WHERE kind = 'Marker' AND marker = 'v' AND last_block = 'c'"""
+    """A paragraph before the first verse of each chapter that has none, if the first chapter with a verse has none."""
+    seg = f"sum(CASE WHEN kind = 'Marker' AND marker = 'c' THEN 1 ELSE 0 END) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    return f"""WITH {ctes(d, docs)}, known AS ({with_catalog(d, ["scope_kind", "spec_kind"])}),
+n AS (SELECT *, kind = 'Marker' AND scope_kind IN ('Block', 'TableRow') AND spec_kind <> 'Figure' AS is_block, {seg} AS seg FROM known),
+firsts AS (SELECT *, min(CASE WHEN kind = 'Number' THEN idx END) OVER (PARTITION BY doc_id, seg) AS num FROM n),
+versed AS (SELECT *, min(CASE WHEN kind = 'Marker' AND marker = 'v' AND idx > num THEN idx END) OVER (PARTITION BY doc_id, seg) AS v_idx FROM firsts),
+lacks AS (SELECT doc_id, seg, v_idx, max(CASE WHEN is_block AND idx > num AND idx < v_idx THEN 1 ELSE 0 END) AS has FROM versed WHERE seg > 0 AND v_idx IS NOT NULL GROUP BY doc_id, seg, v_idx),
+chosen AS (SELECT doc_id, v_idx FROM (SELECT *, first_value(has) OVER (PARTITION BY doc_id ORDER BY seg) AS decides FROM lacks) z WHERE has = 0 AND decides = 0)
+SELECT t.doc_id, t.idx, t.kind, CASE WHEN c.v_idx IS NULL THEN t.text ELSE concat({d.text(chr(92) + 'p')}, t.text) END AS text FROM tokens t LEFT JOIN chosen c ON c.doc_id = t.doc_id AND c.v_idx = t.idx"""
 
 
 def remove_empty_paragraphs(d: Spark, docs: str) -> str:
@@ -63,10 +113,18 @@ c AS (SELECT *, {d.last("block")} OVER {now} AS inside FROM e)
 SELECT doc_id, idx, kind, text FROM c WHERE coalesce(inside, 'some') <> 'empty'"""
 
 
-def recover_markers(d: Spark, docs: str) -> str:
-    """Text in which a known marker stands glued to what follows, cut in three."""
-    rx = r"^([ \t]*)\\(p|q|v|c|m)([A-Z].*)$"
-    return f"WITH {ctes(d, docs)} SELECT doc_id, idx, {d.extract('text', rx, 2)} AS marker, {d.extract('text', rx, 3)} AS rest FROM tokens WHERE kind = 'Text' AND {d.like('text', rx)}"
+def recover_markers(d: Spark, tokens: str) -> str:
+    """(doc_id, idx, piece, kind, text): texts of a query (doc_id, idx, kind, text) cut where a known marker stands in them before a space or tab."""
+    names = "|".join(sorted((k for k in _known()), key=lambda x: (-len(x), x)))
+    rx = r"^([^\\]*)\\(" + names + r"|(?:thr|thc|th|tcr|tcc|tc)[0-9-]+)[ \t]([\s\S]*)$"
+    part = lambda k: d.extract("text", rx, k)
+    return f"""WITH given AS ({tokens}), cut AS (SELECT *, kind = 'Text' AND {d.like('text', rx)} AS hit FROM given),
+      parts AS (SELECT doc_id, idx, 0 AS piece, 'Text' AS kind, {part(1)} AS text FROM cut WHERE hit UNION ALL SELECT doc_id, idx, 1, 'Marker', concat({d.text(chr(92))}, {part(2)}) FROM cut WHERE hit
+      UNION ALL SELECT doc_id, idx, 2, 'Text', {part(3)} FROM cut WHERE hit) SELECT doc_id, idx, piece, kind, text FROM parts WHERE text <> ''"""
+
+
+def _known() -> list[str]:
+    return [m for m in dict.fromkeys(r[0] for r in mk.rows()) if mk.public_kind(m) != "Unknown" and re.fullmatch("[a-z0-9-]+", m)]
 
 
 def attributes(d: Spark, docs: str) -> str:
@@ -84,7 +142,19 @@ def html_escape(d: Spark, pages: str) -> str:
 
 
 def note_labels(d: Spark, docs: str) -> str:
-    """Notes numbered within each document, with caller and place."""
-    return f"""WITH {ctes(d, docs)}, n AS (SELECT *, lead(text) OVER ({W}) AS after FROM tokens)
-SELECT doc_id, idx, marker, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS BIGINT) AS number, {d.replace("after", "^[ " + chr(9) + "]+|[ " + chr(9) + "]+$", "")} AS caller, book, chapter, verse
-FROM n WHERE kind = 'Marker' AND marker IN ('f', 'fe', 'ef', 'x', 'ex')"""
+    """Notes numbered within each document, with labels, caller and place."""
+    letter = lambda k: f"CASE WHEN {k} > 0 THEN chr(CAST(97 + ({k} - 1) % 26 AS INT)) ELSE '' END"
+    up = lambda k: d.div(f"({k} - 1)", "26")
+    second = f"CASE WHEN number > 26 THEN {up('number')} ELSE 0 END"
+    third = f"CASE WHEN number > 702 THEN {up('(' + up('number') + ')')} ELSE 0 END"
+    digits = [("m", "", ""), ("c", "d", "m"), ("x", "l", "c"), ("i", "v", "x")]
+
+    def roman(place: int, one: str, five: str, ten: str) -> str:
+        k = f"({d.div('number', str(10 ** (3 - place)))} % 10)"
+        words = ["", one, one * 2, one * 3, one + five, five, five + one, five + one * 2, five + one * 3, one + ten] if five else [one * n for n in range(10)]
+        return "CASE " + k + "".join(f" WHEN {n} THEN '{x}'" for n, x in enumerate(words)) + " ELSE '' END"
+
+    return f"""WITH {ctes(d, docs)}, n AS (SELECT *, lead(text) OVER ({W}) AS after FROM tokens),
+own AS (SELECT doc_id, idx, marker, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS BIGINT) AS number, {d.replace("after", "^[ " + chr(9) + "]+|[ " + chr(9) + "]+$", "")} AS caller, book, chapter, verse
+FROM n WHERE kind = 'Marker' AND marker IN ('f', 'fe', 'ef', 'x', 'ex'))
+SELECT *, concat({letter(f"({third})")}, {letter(f"({second})")}, {letter('number')}) AS alpha, concat({', '.join(roman(k, *x) for k, x in enumerate(digits))}) AS roman FROM own"""

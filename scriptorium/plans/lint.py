@@ -14,12 +14,16 @@ from scriptorium.plans.tokens import NUMBERED, ctes, sid
 BODY = (
     "p m po pr cls pmo pm pmc pmr pi pi1 pi2 pi3 mi nb pc ph ph1 ph2 ph3 b pb q q1 q2 q3 q4 qr qc qa qm qm1 qm2 qm3 qd lh li li1 li2 li3 li4 lf lim lim1 lim2 lim3"
 ).split()
-#: Verses of one range that are looked at for repeats.
-WIDEST = 10_000
+NOTES = ("f", "fe", "ef", "x", "ex")
+#: Books whose text need not stand in chapters.
+OUTSIDE = ("FRT", "INT", "BAK", "OTH", "CNC", "GLO", "TDX", "NDX")
 CATEGORY = {
-    "number-range-after-chapter-marker": "numbering", "verse-range-expected-after-verse-marker": "numbering", "missing-chapter-number": "numbering",
-    "missing-verse-number": "numbering", "duplicate-chapter-number": "numbering", "chapter-expected-increase-by-one": "numbering", "duplicate-verse-number": "numbering",
-    "verse-expected-increase-by-one": "numbering", "number-range-not-preceded-by-marker-expecting-number": "numbering", "verse-text-follows-verse-range": "numbering",
+    "document": ("missing-id-marker", "verse-before-first-chapter", "duplicate-id-marker", "id-marker-not-at-file-start"),
+    "context": ("chapter-metadata-outside-chapter", "verse-metadata-outside-verse"),
+    "numbering": (
+        "duplicate-chapter-number", "chapter-expected-increase-by-one", "duplicate-verse-number", "verse-expected-increase-by-one",
+        "number-range-not-preceded-by-marker-expecting-number", "verse-text-follows-verse-range", "inconsistent-chapter-label",
+    ),
 }
 WARNINGS = ("empty-paragraph",)
 
@@ -62,7 +66,7 @@ def issues(d: Spark, docs: str) -> str:
         "verse-content-not-empty": f"{blank} AND prev_sig = 'Marker:v'",
         "duplicate-id-marker": f"{marker} AND marker = 'id' AND ids > 1",
         "id-marker-not-at-file-start": f"{marker} AND marker = 'id' AND content > 0",
-        "verse-before-first-chapter": f"{marker} AND marker = 'v' AND chapters = 0 AND coalesce(book_now, '') NOT IN ('FRT', 'INT', 'BAK', 'OTH', 'CNC', 'GLO', 'TDX', 'NDX') AND periphs = 0",
+        "verse-before-first-chapter": f"{marker} AND marker = 'v' AND chapters = 0 AND coalesce(book_now, '') NOT IN ({mk.sql_list(OUTSIDE)}) AND periphs = 0",
         "chapter-metadata-outside-chapter": f"{marker} AND marker IN ('ca', 'cp') AND NOT coalesce(prev_sig = 'Number:' AND prev2_sig = 'Marker:c', false)",
         "verse-metadata-outside-verse": f"{marker} AND marker IN ('va', 'vp') AND NOT coalesce(prev_sig = 'Number:' AND prev2_sig = 'Marker:v', false)",
         "unknown-marker": f"{marker} AND {scope} = 'Unknown'",
@@ -73,7 +77,7 @@ def issues(d: Spark, docs: str) -> str:
         "verse-expected-increase-by-one": "is_verse AND NOT repeats AND num_start <> coalesce(last_verse, 0) + 1",
         "inconsistent-chapter-label": "label IS NOT NULL AND label <> main_label",
         "number-range-not-preceded-by-marker-expecting-number": f"kind = 'Number' AND coalesce(prev_sig, '') NOT IN ({', '.join(repr('Marker:' + x) for x in NUMBERED)})",
-        "verse-text-follows-verse-range": f"is_verse AND coalesce(next_verse, '') NOT IN ('Text:', {', '.join(repr('Marker:' + x) for x in ('f', 'fe', 'ef', 'x', 'ex'))})",
+        "verse-text-follows-verse-range": f"is_verse AND coalesce(next_verse, '') NOT IN ('Text:', {', '.join(repr('Marker:' + x) for x in NOTES)})",
         "missing-id-marker": "idx = 0 AND all_ids = 0",
         "missing-milestone-self-close": "kind = 'Milestone' AND coalesce(next_attr, '') <> 'MilestoneEnd:'",
     }
@@ -101,11 +105,8 @@ flagged AS (SELECT *, {d.last("CASE WHEN kind <> 'Newline' THEN prev_sig END")}
 chaptered AS (SELECT *, {d.last("CASE WHEN is_chapter THEN num_start END")} OVER {past} AS last_chapter,
     CASE WHEN is_chapter THEN row_number() OVER (PARTITION BY doc_id, is_chapter, num_start ORDER BY idx) END AS nth_chapter FROM flagged),
 versed AS (SELECT *, CASE WHEN coalesce(last_chapter, 0) = 0 THEN coalesce(chapter, 0) ELSE last_chapter END AS in_chapter FROM chaptered),
-versed_ranges AS (SELECT doc_id, idx, in_chapter, num_start, CASE WHEN num_last > num_start + {WIDEST} THEN num_start + {WIDEST} ELSE num_last END AS num_cut
-  FROM versed WHERE is_verse AND num_start <= num_last),
-spread AS (SELECT doc_id, idx, in_chapter, num, row_number() OVER (PARTITION BY doc_id, in_chapter, num ORDER BY idx) AS nth
-  FROM ({d.unnest("versed_ranges", "doc_id, idx, in_chapter", d.sequence("num_start", "num_cut"), "k", "num")}) z),
-repeated AS (SELECT doc_id, idx FROM spread WHERE nth > 1 GROUP BY doc_id, idx),
+ranges AS (SELECT doc_id, idx, in_chapter, num_start, num_last FROM versed WHERE is_verse AND num_start <= num_last),
+repeated AS (SELECT DISTINCT b.doc_id, b.idx FROM ranges a JOIN ranges b ON a.doc_id = b.doc_id AND a.in_chapter = b.in_chapter AND a.idx < b.idx AND a.num_start <= b.num_last AND b.num_start <= a.num_last),
 sequenced AS (SELECT v.*, {d.last("CASE WHEN is_verse THEN num_last END")} OVER (PARTITION BY v.doc_id, in_chapter ORDER BY v.idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_verse, r.idx IS NOT NULL AS repeats
   FROM versed v LEFT JOIN repeated r ON r.doc_id = v.doc_id AND r.idx = v.idx),
 counted AS (SELECT *, count(label) OVER (PARTITION BY doc_id, label) AS n_label FROM sequenced),
@@ -123,13 +124,22 @@ def lint(d: Spark, docs: str) -> str:
 
 def summary(d: Spark, docs: str) -> str:
     """Counts by code, category and severity in one pass, with grouping sets."""
-    kinds = " ".join(f"WHEN '{c}' THEN '{k}'" for c, k in CATEGORY.items())
+    kinds = " ".join(f"WHEN '{c}' THEN '{k}'" for k, codes in CATEGORY.items() for c in codes)
     cols = f"code, CASE code {kinds} ELSE 'structure' END AS category, CASE WHEN code IN ({mk.sql_list(WARNINGS)}) THEN 'warning' ELSE 'error' END AS severity"
     return f"""WITH {issues(d, docs)} SELECT coalesce(code, '*') AS code, coalesce(category, '*') AS category, coalesce(severity, '*') AS severity, CAST(count(*) AS BIGINT) AS n
       FROM (SELECT {cols} FROM issues) z GROUP BY GROUPING SETS ((code), (category), (severity), ())"""
 
 
-def suppressed(d: Spark, docs: str) -> str:
-    """Issues without those suppressed by code and reference; here, unknown markers in chapter 1 and all notes of verse gaps in verse 3."""
-    return f"""WITH {issues(d, docs)}, suppress AS (SELECT DISTINCT code, sid FROM issues WHERE sid IS NOT NULL AND (code = 'unknown-marker' AND sid LIKE '% 1:%' OR code = 'verse-expected-increase-by-one' AND sid LIKE '%:3'))
-      SELECT i.doc_id, i.idx, i.code, i.sid FROM issues i WHERE NOT EXISTS (SELECT 1 FROM suppress s WHERE s.code = i.code AND s.sid = i.sid)"""
+def suppressed(d: Spark, docs: str, suppressions: str) -> str:
+    """Issues without those whose code and reference a query (code, sid) names."""
+    return f"""WITH {issues(d, docs)}, suppress AS (SELECT DISTINCT code, sid FROM ({suppressions}) z)
+      SELECT i.doc_id, i.idx, i.code, i.sid FROM issues i LEFT JOIN suppress s ON s.code = i.code AND s.sid = i.sid WHERE s.code IS NULL"""
+
+
+def document_summary(d: Spark, docs: str) -> str:
+    """Totals of each document that has an issue."""
+    kinds = " ".join(f"WHEN '{c}' THEN '{k}'" for k, codes in CATEGORY.items() for c in codes)
+    count = lambda cond: f"CAST(sum(CASE WHEN {cond} THEN 1 ELSE 0 END) AS BIGINT)"
+    return f"""WITH {issues(d, docs)} SELECT doc_id, {count("category = 'document'")} AS n_document, {count("category = 'structure'")} AS n_structure, {count("category = 'context'")} AS n_context,
+      {count("category = 'numbering'")} AS n_numbering, {count(f"code IN ({mk.sql_list(WARNINGS)})")} AS n_warning, CAST(count(*) AS BIGINT) AS n_total
+      FROM (SELECT doc_id, code, CASE code {kinds} ELSE 'structure' END AS category FROM issues) z GROUP BY doc_id"""

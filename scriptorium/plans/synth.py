@@ -4,6 +4,39 @@ from __future__ import annotations
 
 from scriptorium.functions.dialect import Spark
 
+#: Ends of documents, by doc_id modulo ENDINGS_EACH; together they break every rule that a source can break.
+ENDINGS_EACH = 29
+ENDINGS = {
+    1: "\\p\n\\p\n\\v 90 empty before\n",
+    2: "\\c\n\\p\n\\v 91 no number\n",
+    3: "\\p text \\ca 2\\ca* and \\va 3\\va* end\n",
+    4: "\\id EXO again\n",
+    5: "\\c 1\n\\p\n\\v 1 chapter again\n",
+    6: "\\c 60\n\\cl Section 60\n\\p\n\\v 1 other label\n\\c 61\n\\cl Part 61\n\\p\n\\v 1 label\n",
+    7: "\\p\n\\v 92 \n\\p\n",
+    8: '\\p\n\\v 93 \\qt-s |sid="2" open quote\n',
+    9: "\\p\n\\v 94 stray \\ft note text and \\nd* closed\n",
+    10: "\\p\n\\v 95 \\f + \\ft never closed\n\\p more \\w a \\nd b\\w* c\n",
+    11: "\n\n\\p\n\n\\v 96 blank lines\n\n",
+    12: "\\tr \\th1 head\\thr2 right\n\\tr \\tc1 cell\\tcr2 one\n",
+    13: "\\esb \\cat note\\cat*\n\\p inside\n\\esbe\n",
+    14: "\\p\n\\v 97 \\v 98 \\v 99 bridged text\n",
+    15: "\\p\n\\v 97\n\\v 98 orphan\n",
+    16: "\\p\n\\v 10-12 10. ten 11) eleven\n",
+    17: "\\p\n\\v 13 13 thirteen\n",
+    18: "\\cl Before\n\\c 70\n\\v 1 no paragraph\n",
+    19: "\\q1\n\\v 14 poem\n\\q2 \n\\s1 Head\n\\r (Ref 1:1)\n",
+    20: "\\v 1-20000 wide\n\\v 15000 again\n",
+    21: "\\v 4,6 sequence \\v 7-8,10 both \\v 11a-12b suffix\n",
+    22: '\\p \\fig alt|src="a.jpg" size="col" ref="1.1"\\fig* \\xt 1.1|GEN 1:1\\xt* \\rb word|gloss\\rb*\n',
+    23: "\\p \\x - \\xo 1.1 \\xt Mat 1.1\\x* and \\ef - \\ft ext\\ef*\n",
+    24: '\\periph Title|id="title"\n\\p in a peripheral\n',
+    25: "\\p\r\n\\v 15 carriage\r\n\\v 16 // break \\zcustom mark\\zcustom* \\+nd x\\+nd*\n",
+}
+#: Lines that an editor drops, and one that is added.
+DROPPED = ("\\v 90 empty before\n", "\\v 94 stray \\ft note text and \\nd* closed\n", "\\v 98 orphan\n", "\\v 1 chapter again\n")
+ADDED = "\\p\n\\v 201 added line\n"
+
 
 def usfm_docs(d: Spark, documents: str) -> str:
     """(doc_id, source): each text line a verse; some with ranges, repeats, gaps, notes, attributes and faults."""
@@ -19,12 +52,20 @@ def usfm_docs(d: Spark, documents: str) -> str:
     line = f"concat({chapter}, {b}, 'v', {number}, ' ', l, {extra})"
     book = "CASE doc_id % 5 WHEN 0 THEN 'GEN' WHEN 1 THEN 'EXO' WHEN 2 THEN 'MAT' WHEN 3 THEN 'JHN' ELSE 'XYZ' END"
     head = f"CASE WHEN doc_id % 19 = 7 THEN '' ELSE concat({b}, 'id ', {book}, ' sample', {nl}, {b}, 'h Book', {nl}, {b}, 'mt1 Title', {nl}) END"
-    return f"SELECT doc_id, concat({head}, {d.lines('text', line)}, {nl}) AS source FROM {documents} WHERE text IS NOT NULL"
+    early = f"CASE WHEN doc_id % 31 = 3 THEN {m(chr(92) + 'p' + chr(10) + chr(92) + 'v 1 too early' + chr(10))} ELSE '' END"
+    ending = "CASE doc_id % " + str(ENDINGS_EACH) + "".join(f" WHEN {k} THEN {m(x)}" for k, x in ENDINGS.items()) + " ELSE '' END"
+    return f"SELECT doc_id, concat({head}, {early}, {d.lines('text', line)}, {nl}, {ending}) AS source FROM {documents} WHERE text IS NOT NULL"
 
 
 def edited_docs(d: Spark, documents: str) -> str:
-    """The same documents after an editor: texts shouted, lines dropped and spaces doubled by rule."""
-    base = usfm_docs(d, documents)
-    nl = d.newline
-    return f"""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN source WHEN 1 THEN replace(source, ' the ', '  the ') WHEN 2 THEN replace(source, 'note text', 'NOTE TEXT')
-      ELSE replace(source, concat({d.text(chr(92) + 'q2')}, ' Poetry', {nl}), '') END AS source FROM ({base})"""
+    """The same documents after an editor: texts shouted, lines dropped or added and spaces doubled by rule."""
+    return f"SELECT doc_id, current AS source FROM ({pairs(d, documents)}) z"
+
+
+def pairs(d: Spark, documents: str) -> str:
+    """(doc_id, baseline, current): both versions of each document in a row."""
+    shorter = "source"
+    for line in DROPPED:
+        shorter = f"replace({shorter}, {d.text(line)}, '')"
+    return f"""SELECT doc_id, source AS baseline, concat(CASE doc_id % 4 WHEN 0 THEN source WHEN 1 THEN replace(source, ' the ', '  the ') WHEN 2 THEN replace({shorter}, 'note text', 'NOTE TEXT')
+      ELSE replace({shorter}, concat({d.text(chr(92) + 'q2')}, ' Poetry', {d.newline}), '') END, CASE WHEN doc_id % 5 = 2 THEN {d.text(ADDED)} ELSE '' END) AS current FROM ({usfm_docs(d, documents)}) y"""
