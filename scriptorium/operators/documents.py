@@ -104,6 +104,26 @@ def syntax_tree(docs: DataFrame) -> DataFrame:
     return spread(docs.select("doc_id", F.col("source").cast("string"))).mapInArrow(run, f"doc_id {id_type}, idx int, kind string, marker string, parent_idx int, depth int")
 
 
+def walk(docs: DataFrame) -> DataFrame:
+    """(doc_id, idx, kind, marker, depth, ancestors): the tree depth first, with the tokens above each from the root down."""
+    out = StructType([StructField("doc_id", docs.schema["doc_id"].dataType), *StructType.fromDDL("idx int, kind string, marker string, depth int, ancestors array<int>")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, offsets in passes(batch.column(1)):
+                t = Tokens(data, offsets)
+                depth, above = [], []
+                for d in range(hi - lo):
+                    own: list[list[int]] = []
+                    for parent, level in trees.syntax_parents(t.listed(d)):
+                        own.append([] if parent is None else [*own[parent], parent])
+                        depth.append(level)
+                    above += own
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).take(pa.array(t.doc)), pa.array(t.idx, pa.int32()), t.kinds(), t.marker_names(), pa.array(depth, pa.int32()), pa.array(above, pa.list_(pa.int32()))], out.names)
+
+    return spread(docs.select("doc_id", F.col("source").cast("string"))).mapInArrow(run, out)
+
+
 def stack_lint(docs: DataFrame) -> DataFrame:
     """(doc_id, code, idx, related_idx, marker, sid): issues of the rules that need a stack."""
     id_type = docs.schema["doc_id"].dataType.simpleString()

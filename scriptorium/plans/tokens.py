@@ -90,7 +90,9 @@ def over(docs: DataFrame, build) -> DataFrame:
     """Run build(dialect, docs query), SQL text, over a table with (doc_id, source)."""
     view = f"scriptorium_{uuid.uuid4().hex}"
     docs.createOrReplaceTempView(view)
-    return docs.sparkSession.sql(build(SPARK, f"SELECT doc_id, source FROM {view}"))
+    out = docs.sparkSession.sql(build(SPARK, f"SELECT doc_id, source FROM {view}"))
+    docs.sparkSession.catalog.dropTempView(view)  # the plan has it already
+    return out
 
 
 def tokens(docs: DataFrame) -> DataFrame:
