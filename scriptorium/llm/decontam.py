@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.functions.spread import spread
 from scriptorium.llm.storage import texts as id_and_text
 from scriptorium.llm.storage import with_id
 from scriptorium.llm.textkernel import _WORD, HashTable, fold, mix, passes, span_hashes
@@ -295,5 +296,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) ->
                     keep[row] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = spread(docs).mapInArrow(run, docs.schema)
     return docs

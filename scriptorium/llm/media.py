@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.functions.spread import spread
 from scriptorium.llm.storage import id_of, with_id
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -334,4 +335,4 @@ def pictures(embeddings: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["vec_id", "png"])
 
     src = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    return src.mapInArrow(run, "vec_id long, png binary")
+    return spread(src).mapInArrow(run, "vec_id long, png binary")

@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.functions.spread import spread
 from scriptorium.llm.storage import id_of, keep, small
 
 BUCKETS = 4096
@@ -123,7 +124,7 @@ def mix_sources(docs: DataFrame, budget_share: float = 1.0, weights: dict[str, f
     first, then by tokens. Repeated rows each count, and where the budget ends
     among them, as many are taken as fit. An empty table gives no rows.
     """
-    keyed = keep(docs.select(*_keyed(docs, id_col, text_col, source_col, seed)))
+    keyed = keep(spread(docs.select(*(F.col(f"`{c}`") for c in dict.fromkeys((id_col, text_col, source_col))))).select(*_keyed(docs, id_col, text_col, source_col, seed)))
     out = _taken(keyed, plan(keyed, budget_share, weights))
     return out.select(F.col("id").alias("doc_id"), "source", F.col("n").alias("n_tokens"), "copies").where("copies > 0")
 

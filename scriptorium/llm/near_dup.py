@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
+from scriptorium.functions.spread import spread
 from scriptorium.llm.storage import drop, id_of, keep, small
 from scriptorium.llm.textkernel import Words, mix, passes
 
@@ -114,7 +115,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, sig) of every document with an id, a whole number, and at least one word."""
     src = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return src.where("id IS NOT NULL AND text IS NOT NULL").mapInArrow(_sign, "id long, sig binary")
+    return spread(src.where("id IS NOT NULL AND text IS NOT NULL")).mapInArrow(_sign, "id long, sig binary")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.functions.spread import spread
 from scriptorium.llm.near_dup import link, signatures
 from scriptorium.llm.storage import join_keys, texts, with_id
 from scriptorium.llm.textkernel import HashTable, Words, mix, passes, span_hashes
@@ -406,4 +407,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 column = column.cast(pa.string())
             yield batch.filter(pa.array(score_texts(column, chain)[0] < THRESHOLD))
 
-    return docs.mapInArrow(run, docs.schema)
+    return spread(docs).mapInArrow(run, docs.schema)
