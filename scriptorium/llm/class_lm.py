@@ -52,6 +52,8 @@ def shapes(words: Words) -> np.ndarray:
 
 #: Entries that a task gathers before it adds them up and hands them on, and words of a block.
 GATHERED, BLOCK = 1 << 20, 1 << 19
+#: Words of the corpus for each range of hashes that a task handles at a time.
+RANGE = 1 << 20
 
 
 def _added_up(parts: Iterator[tuple[np.ndarray, ...]]) -> Iterator[tuple[np.ndarray, ...]]:
@@ -189,12 +191,14 @@ def _befores(words: Words, of_each: np.ndarray) -> np.ndarray:
     return before
 
 
-def assign(docs: DataFrame, first: Model, least: int = LEAST) -> DataFrame:
+def assign(docs: DataFrame, first: Model, least: int = LEAST, words_in_all: int = 0) -> DataFrame:
     """(word, of, n): class and count of each word that has ``least`` occurrences and isn't frequent.
 
     Each occurrence gives a byte for its left neighbour's class and one for its
-    right one's; a word's bytes meet in one task.
+    right one's; a word's bytes meet in one task. Words of one range of hashes share
+    a row; there are so many ranges that each has the bytes of about RANGE words.
     """
+    ranges = max(64, min(1 << 30, words_in_all // RANGE))
     vocabulary, of_number, k = first.vocabulary, first.of, len(first.transition)
     free = np.arange(RARE + 1, k)
     width = 2 * k
@@ -220,9 +224,18 @@ def assign(docs: DataFrame, first: Model, least: int = LEAST) -> DataFrame:
             order = np.argsort(word)
             word, code = word[order], code[order]
             begin = np.flatnonzero(np.concatenate([np.ones(min(1, len(word)), dtype=bool), word[1:] != word[:-1]]))
-            ends = (np.append(begin, len(word)) * code.itemsize).astype(np.int32)
-            column = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(code.tobytes())])
-            return pa.RecordBatch.from_arrays([pa.array(word[begin].view(np.int64)), column], ["word", "near"])
+            size = np.diff(np.append(begin, len(word)))
+            word = word[begin]
+            range_ = ((word >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+            cut = np.flatnonzero(np.concatenate([np.ones(min(1, len(word)), dtype=bool), range_[1:] != range_[:-1]]))
+
+            def packed(values: np.ndarray, edges: np.ndarray) -> pa.Array:
+                ends = (edges * values.itemsize).astype(np.int32)
+                return pa.Array.from_buffers(pa.binary(), len(cut), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(values.tobytes())])
+
+            edges = np.append(cut, len(word))
+            columns = [packed(word, edges), packed(size.astype(np.uint32), edges), packed(code, np.concatenate([[0], np.cumsum(size)])[edges])]
+            return pa.RecordBatch.from_arrays([pa.array(range_[cut]), *columns], ["range", "words", "sizes", "near"])
 
         held, gathered_ = [], 0
         for part in parts(batches):
@@ -242,28 +255,25 @@ def assign(docs: DataFrame, first: Model, least: int = LEAST) -> DataFrame:
             of = free[score.argmax(axis=1)] if len(word) else np.zeros(0, dtype=np.int64)
             return pa.RecordBatch.from_arrays([pa.array(word), pa.array(of.astype(np.int16)), pa.array(n.astype(np.int64))], ["word", "of", "n"])
 
-        last, rest = np.zeros(0, dtype=np.int64), np.zeros((0, width))
+        def added(held: list[tuple[bytes, bytes, bytes]]) -> pa.RecordBatch:
+            word, size, code = (np.concatenate([np.frombuffer(h[k], dtype=t) for h in held]) for k, t in enumerate((np.int64, np.uint32, wide)))
+            word, back = np.unique(word, return_inverse=True)
+            row = np.repeat(back, size)
+            return chosen(word, np.bincount(row * width + code, minlength=len(word) * width).reshape(len(word), width).astype(np.float64))
+
+        held, now = [], None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            word = batch.column(0).to_numpy()
-            own = batch.column(1)
-            off = np.frombuffer(own.buffers()[1], dtype=np.int32, count=own.offset + len(own) + 1)[own.offset :].astype(np.int64)
-            code = np.frombuffer(own.buffers()[2], dtype=np.uint8, count=off[-1])[off[0] :].view(wide)
-            begin = np.concatenate([[True], word[1:] != word[:-1]])
-            row = np.repeat(np.cumsum(begin) - 1, np.diff(off) // code.itemsize)
-            word = word[begin]
-            near = np.bincount(row * width + code, minlength=len(word) * width).reshape(len(word), width).astype(np.float64)
-            if len(last) and last[0] == word[0]:
-                near[0] += rest[0]
-            elif len(last):
-                word, near = np.concatenate([last, word]), np.concatenate([rest, near])
-            last, rest = word[-1:], near[-1:]
-            yield chosen(word[:-1], near[:-1])
-        yield chosen(last, rest)
+            for range_, *parts_ in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and range_ != now:
+                    yield added(held)
+                    held = []
+                now = range_
+                held.append(tuple(parts_))
+        if held:
+            yield added(held)
 
-    near = texts(docs).where("text IS NOT NULL").select("text").mapInArrow(gathered, "word long, near binary")
-    return near.repartition("word").sortWithinPartitions("word").mapInArrow(classes, "word long, of short, n long")
+    near = texts(docs).where("text IS NOT NULL").select("text").mapInArrow(gathered, "range long, words binary, sizes binary, near binary")
+    return near.repartition("range").sortWithinPartitions("range").mapInArrow(classes, "word long, of short, n long")
 
 
 @dataclass
@@ -280,6 +290,15 @@ def _binaries(parts: list[np.ndarray]) -> pa.Array:
     return pa.array([p.tobytes() for p in parts], pa.binary())
 
 
+def _planes(x: np.ndarray) -> np.ndarray:
+    """Bytes of numbers, all first ones first: the later ones are nearly all 0 and take next to no room compressed."""
+    return x.astype("<u4").view(np.uint8).reshape(-1, 4).T.copy()
+
+
+def _from_planes(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, dtype=np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
+
+
 def _blocks(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """Blocks of whole documents as numbers: of frequent words, then of the block's own distinct other words.
 
@@ -297,7 +316,7 @@ def _blocks(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             counts = np.concatenate([h[1] for h in held])
             ids = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
             block = pa.array([(TaskContext.get().partitionId() << 32) + nth], pa.int64())
-            return pa.RecordBatch.from_arrays([block, ids, *(_binaries([x]) for x in (counts, numbers.astype(np.uint32), words, shape))], ["block", "ids", "counts", "numbers", "words", "shapes"])
+            return pa.RecordBatch.from_arrays([block, ids, *(_binaries([x]) for x in (counts, _planes(numbers), words, shape))], ["block", "ids", "counts", "numbers", "words", "shapes"])
 
         held, size, nth = [], 0, 0
         for batch in batches:
@@ -332,7 +351,8 @@ def code(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             for row in range(batch.num_rows):
                 ids, found = batch.column(1)[row].values, batch.column(6)[row].values
-                counts, numbers, shape = (np.frombuffer(batch.column(c)[row].as_py(), dtype=t) for c, t in ((2, np.int64), (3, np.uint32), (5, np.uint8)))
+                counts, shape = (np.frombuffer(batch.column(c)[row].as_py(), dtype=t) for c, t in ((2, np.int64), (5, np.uint8)))
+                numbers = _from_planes(batch.column(3)[row].as_py())
                 of, each = shape.astype(np.int64), emission[shape]
                 if found is not None:
                     at, c, n = (found.field(k).to_numpy(zero_copy_only=False) for k in range(3))
@@ -401,7 +421,7 @@ def fit(docs: DataFrame, share: float = SHARE, classes: int = CLASSES, frequent:
     a, b, n = (pairs.column(c).to_numpy() for c in ("a", "b", "n"))
     of = exchange(a, b, n, vocabulary.size, classes)
     model = estimate(vocabulary, of, a, b, n, types, k)
-    tail = keep(assign(docs, model, least))
+    tail = keep(assign(docs, model, least, int(total)))
     for r in tail.groupBy("of").agg(F.sum(F.col("n") + 1).alias("n")).collect():
         model.inside[r["of"]] += r["n"]
     model.emission = emissions(of, np.bincount(b, n, minlength=vocabulary.size), model.inside, types)

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType, StructField, StructType
 
+from scriptorium.functions.spread import spread
+
 #: Rows up to which a table of a few numbers a row is broadcast instead of shuffled.
 BROADCAST_ROWS = 500_000
 
@@ -32,7 +34,7 @@ def keep(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._kept_at = path
     return out
@@ -71,7 +73,7 @@ def join_keys(a: DataFrame, b: DataFrame, name: str) -> list[Column]:
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text) of a table with any other columns."""
-    return docs.select(id_of(docs, id_col).alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    return spread(docs.select(id_of(docs, id_col).alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")))
 
 
 def with_id(df: DataFrame, more: str, name: str = "doc_id") -> StructType:
