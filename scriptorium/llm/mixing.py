@@ -16,6 +16,8 @@ Of repeated rows of one key, so many are taken as the rest has room for.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,9 +67,9 @@ def plan(keyed: DataFrame, budget_share: float = 1.0, weights: dict[str, float]
     else:
         given = spark.createDataFrame([(k, int(round(v * 1_000_000))) for k, v in weights.items()], "name string, ppm long")
         source = source.join(given, F.col("source") == F.col("name"), "left").withColumn("share", F.coalesce("ppm", F.lit(0)).cast("decimal(13,0)"))
-    whole = source.agg(F.sum("total").alias("all"), F.sum("share").alias("shares"))
-    aim = F.expr(f"cast(floor(all * {budget_share!r}D) as decimal(25,0)) * share div cast(shares as decimal(25,0))")
-    source = source.crossJoin(whole).withColumn("aim", F.when(F.col("shares") > 0, aim).otherwise(0))
+    whole = source.agg(F.sum("total").alias("all"), F.sum("share").alias("shares")).first()
+    budget, shares = math.floor(float(whole["all"] or 0) * budget_share), int(whole["shares"] or 0)
+    source = source.withColumn("aim", F.expr(f"cast({budget} as decimal(25,0)) * share div cast({shares} as decimal(25,0))") if shares else F.lit(0))
     source = source.select("source", F.expr("if(total > 0, aim div total, 1)").alias("epochs"), F.expr("if(total > 0, aim % total, 0)").alias("rest"))
     source = keep(source)
     up_to = F.sum("n").over(Window.partitionBy("source").orderBy("bucket"))
