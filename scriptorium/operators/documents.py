@@ -310,9 +310,8 @@ def usx_round_trip(docs: DataFrame) -> DataFrame:
 
 def faults(docs: DataFrame) -> DataFrame:
     """(faults, documents): documents that a conversion or the formatter couldn't read, of all."""
-    parts = [to_usj(docs), to_usx(docs), to_html(docs), formatted(docs), usx_to_usj(to_usx(docs).drop("error"))]
-    bad = None
-    for p in parts:
-        own = p.agg(F.count_if(F.col("error").isNotNull()).alias("n"))
-        bad = own if bad is None else bad.unionAll(own)
-    return bad.agg(F.sum("n").cast("bigint").alias("faults")).crossJoin(docs.agg(F.count("*").alias("documents")))
+    made = [to_usj(docs), to_usx(docs), to_html(docs), formatted(docs), usx_to_usj(to_usx(docs).drop("error"))]
+    out = docs.agg(F.lit(0).cast("bigint").alias("faults"), F.count("*").alias("documents"))
+    for df in made:
+        out = out.unionAll(df.agg(F.count_if(F.col("error").isNotNull()), F.lit(0).cast("bigint")))
+    return out.agg(F.sum("faults").alias("faults"), F.sum("documents").alias("documents"))
