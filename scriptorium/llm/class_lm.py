@@ -165,7 +165,9 @@ def exchange(a: np.ndarray, b: np.ndarray, n: np.ndarray, size: int, classes: in
             grid[old, old] -= self_n
             rows, cols = grid.sum(axis=1), grid.sum(axis=0)
             # gain of adding w to class c: changes of x log x over row c, column c and the margins
-            gain = (_xlogx(grid[free] + right) - _xlogx(grid[free])).sum(axis=1) + (_xlogx(grid[:, free] + left[:, None]) - _xlogx(grid[:, free])).sum(axis=0)
+            to_, by_ = np.flatnonzero(right), np.flatnonzero(left)  # the other columns and rows stay as they are
+            over, down = grid[fixed:, to_], grid[by_, fixed:]
+            gain = (_xlogx(over + right[to_]) - _xlogx(over)).sum(axis=1) + (_xlogx(down + left[by_, None]) - _xlogx(down)).sum(axis=0)
             d = grid[free, free]
             r, f = right[free], left[free]
             gain += _xlogx(d + r + f + self_n) - _xlogx(d + r) - _xlogx(d + f) + _xlogx(d)
