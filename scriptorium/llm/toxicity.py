@@ -327,8 +327,8 @@ def train(texts: list[str], toxic: list[bool], lang: list[str | None] | None = N
     return Chain(keys[strong], weight[strong], common, float(bias), turn)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[bool], list[str | None]]:
-    """Texts, labels and languages of the bounded training sample; without a column lang there is one language."""
+def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(id, text, lang, toxic) of the bounded training sample; without a column lang there is one language."""
     own, other = join_keys(docs, labels, "doc_id")
     tagged = labels.select(other.alias("id"), F.col("toxic").cast("int").alias("toxic")).where("id IS NOT NULL AND toxic IS NOT NULL")
     tagged = tagged.groupBy("id").agg(F.max("toxic").alias("toxic"))
@@ -338,8 +338,28 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[b
     chosen = [known.where(c).orderBy("nth", F.xxhash64("id"), "id").limit(TRAIN_DOCS) for c in ("toxic = 1", "toxic = 0")]
     chosen = chosen[0].unionAll(chosen[1]).select("id", "toxic")
     rows = src.where(F.length("text") <= TRAIN_CHARS).join(F.broadcast(chosen), "id").groupBy("id", "toxic").agg(F.min(F.struct("text", "lang")).alias("t"))
-    rows = rows.orderBy("id").select("t.text", "t.lang", "toxic").collect()  # 2 * TRAIN_DOCS texts at most
-    return [r["text"] for r in rows], [r["toxic"] == 1 for r in rows], [r["lang"] for r in rows]
+    return rows.select("id", "t.text", "t.lang", "toxic")
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Chain:
+    """The chain of the training sample. One task has its 2 * TRAIN_DOCS texts at most; the driver gets the weights only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not (held := [b for b in batches if b.num_rows]):
+            return
+        columns = pa.Table.from_batches(held).to_pydict()
+        c = train(columns["text"], [x == 1 for x in columns["toxic"]], columns["lang"])
+        parts = [pa.array([x.tobytes()], pa.binary()) for x in (c.keys, c.weights, c.common, c.turn)]
+        yield pa.RecordBatch.from_arrays([*parts, pa.array([c.bias])], ["keys", "weights", "common", "turn", "bias"])
+
+    sample = training_rows(docs, labels).repartition(1).sortWithinPartitions("id")
+    row = sample.mapInArrow(run, "keys binary, weights binary, common binary, turn binary, bias double").first()
+    if row is None:
+        return train([], [])
+    keys, weights, common, turn = (np.frombuffer(row[n], dtype=t) for n, t in (("keys", np.uint64), ("weights", float), ("common", np.uint64), ("turn", float)))
+    if not len(keys):
+        warnings.warn("the labelled documents tell toxic forms from clean ones nowhere; nothing will be found toxic", stacklevel=3)
+    return Chain(keys, weights, common, row["bias"], turn.reshape(2, 2))
 
 
 def score_texts(column: pa.Array, chain: Chain) -> tuple[np.ndarray, np.ndarray, list[list[tuple[int, int]]]]:
@@ -383,7 +403,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     count; of several labels of one document the toxic one does, and of several
     texts the first in order is trained on.
     """
-    chain = train(*training_rows(docs, labels))
+    chain = fit(docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -397,7 +417,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that aren't toxic, with all their columns; one pass, no shuffle."""
-    chain = train(*training_rows(docs, labels))
+    chain = fit(docs, labels)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
