@@ -1,16 +1,21 @@
 """What keeps time, memory and shuffled bytes in proportion to the input."""
 
 import pytest
+from pyspark.sql import functions as F
 
-from scriptorium.operators import documents
+from scriptorium.operators import documents, relations
 from scriptorium.plans import synth
 from tests.test_trees import TEXT
 
 DEEP = "\\p " + "\\nd a " * 3000  # nested beyond what a recursion can follow
 
 
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def passes_of(df):
-    return df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow")
+    return plan(df).count("MapInArrow")
 
 
 @pytest.fixture(scope="module")
@@ -27,3 +32,19 @@ def test_faults_are_counted_in_one_pass(docs):
     want = sum(df.where("error IS NOT NULL").count() for df in each)
     assert tuple(got.first()) == (want, docs.count()) and want == 3
     assert tuple(documents.faults(docs.limit(0)).first()) == (0, 0)
+
+
+def test_streams_are_shuffled_as_packed_runs(spark, docs):
+    stream = relations.tokens(docs.where("source IS NOT NULL"))
+    got = documents.lint_stream(stream)
+    assert "Aggregate" in plan(got) and passes_of(got) == 3, "no packing before the shuffle"
+    key = lambda df: sorted(map(repr, df.collect()))
+    assert key(got) == key(relations.lint(docs.where("source IS NOT NULL")).where("code <> 'missing-id-marker' OR doc_id <> 1"))
+    mixed = stream.orderBy(F.xxhash64("text", "idx")).repartition(5)
+    assert key(documents.lint_stream(mixed)) == key(got) and key(documents.blocks_stream(mixed)) == key(documents.blocks_stream(stream))
+
+
+def test_a_stream_s_documents_are_ordered_and_bounded(spark):
+    rows = [(None, 0, "Text", "a"), ("x", 1, "Text", "c"), ("x", 0, "Text", "b"), (None, 1, "Text", "d"), ("x", 1, "Text", None)]
+    made = documents.formatted_stream(spark.createDataFrame(rows, "doc_id string, idx int, kind string, text string"), only=[])
+    assert {(r["doc_id"], r["text"]) for r in made.collect()} == {(None, "ad"), ("x", "bc")}
