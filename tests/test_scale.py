@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.operators import documents, relations
-from scriptorium.plans import synth
+from scriptorium.plans import catalog, synth
 from tests.test_trees import TEXT
 
 DEEP = "\\p " + "\\nd a " * 3000  # nested beyond what a recursion can follow
@@ -48,3 +48,20 @@ def test_a_stream_s_documents_are_ordered_and_bounded(spark):
     rows = [(None, 0, "Text", "a"), ("x", 1, "Text", "c"), ("x", 0, "Text", "b"), (None, 1, "Text", "d"), ("x", 1, "Text", None)]
     made = documents.formatted_stream(spark.createDataFrame(rows, "doc_id string, idx int, kind string, text string"), only=[])
     assert {(r["doc_id"], r["text"]) for r in made.collect()} == {(None, "ad"), ("x", "bc")}
+
+
+def same_rows(a, b):
+    rows = lambda df: sorted(map(repr, df.drop("error").collect()))
+    return rows(a) == rows(b)
+
+
+def test_usj_and_back_is_one_pass(spark, docs):
+    got = catalog.queries()["usj_to_usfm"](spark, "/root/testdata/sf0.001")
+    assert passes_of(got) == 1 and same_rows(documents.through_usj(docs), documents.from_usj(documents.to_usj(docs)))
+    assert documents.through_usj(docs).where("error IS NOT NULL").count() == 1
+
+
+def test_large_texts_are_given_back_in_parts(spark):
+    usj = documents.to_usj(spark.createDataFrame([(k, "\\p " + "word " * 100_000) for k in range(6)], "doc_id long, source string")).coalesce(1)
+    parts = documents.from_usj(usj).select(F.length("source").alias("n"))
+    assert [r["n"] for r in parts.collect()] == [500_004] * 6
