@@ -1,5 +1,7 @@
 """What keeps time, memory and shuffled bytes in proportion to the input."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,3 +67,18 @@ def test_large_texts_are_given_back_in_parts(spark):
     usj = documents.to_usj(spark.createDataFrame([(k, "\\p " + "word " * 100_000) for k in range(6)], "doc_id long, source string")).coalesce(1)
     parts = documents.from_usj(usj).select(F.length("source").alias("n"))
     assert [r["n"] for r in parts.collect()] == [500_004] * 6
+
+
+def test_a_round_trip_converts_nothing_twice():
+    rng = random.Random(3)
+    for _ in range(300):
+        n = rng.randint(1, 4)
+        there, back = ([rng.randrange(n) for _ in range(n)] for _ in range(2))
+        called = []
+        step = lambda f, x: called.append((id(f), x)) or f[x]
+        for x in range(n):
+            made = back[there[x]]
+            want = back[there[made]] == made and there[back[there[made]]] == there[made]
+            called.clear()
+            assert documents.stays(x, lambda y: step(there, y), lambda y: step(back, y)) == want
+            assert len(called) == len(set(called)) <= 4
