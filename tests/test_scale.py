@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from scriptorium.operators import blocks, documents, relations
+from scriptorium.operators import blocks, convert, documents, relations
 from scriptorium.plans import catalog, synth
 from tests.test_trees import TEXT
 
@@ -107,3 +107,10 @@ def test_reverts_are_those_of_blocks_counted_anew():
 def test_blocks_to_revert_are_chosen_in_the_same_pass(spark):
     got = catalog.queries()["revert_block"](spark, "/root/testdata/sf0.001")
     assert passes_of(got) == 1 and "Join" not in plan(got) and "Window" not in plan(got)
+
+
+def test_texts_without_special_characters_are_not_copied():
+    plain = "no special characters"
+    assert convert.xml_escape(plain) is plain and convert.html_escape(plain) is plain
+    assert convert.xml_escape("a<b>&\"'") == "a&lt;b&gt;&amp;&quot;&apos;" and convert.html_escape("a<b>&\"'") == "a&lt;b&gt;&amp;&quot;&#39;"
+    assert all(convert.xml_escape(c) != c and convert.html_escape(c) != c for c in "&<>\"'")
