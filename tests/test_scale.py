@@ -114,3 +114,10 @@ def test_texts_without_special_characters_are_not_copied():
     assert convert.xml_escape(plain) is plain and convert.html_escape(plain) is plain
     assert convert.xml_escape("a<b>&\"'") == "a&lt;b&gt;&amp;&quot;&apos;" and convert.html_escape("a<b>&\"'") == "a&lt;b&gt;&amp;&quot;&#39;"
     assert all(convert.xml_escape(c) != c and convert.html_escape(c) != c for c in "&<>\"'")
+
+
+@pytest.mark.parametrize("name", ["usx_to_usfm", "usx_to_usj"])
+def test_usx_and_back_is_one_pass(spark, docs, name):
+    assert passes_of(catalog.queries()[name](spark, "/root/testdata/sf0.001")) == 1
+    usx = documents.to_usx(docs)
+    assert same_rows(documents.through_usx(docs), documents.from_usx(usx)) and same_rows(documents.usj_through_usx(docs), documents.usx_to_usj(usx))
