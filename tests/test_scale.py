@@ -1,11 +1,13 @@
 """What keeps time, memory and shuffled bytes in proportion to the input."""
 
 import random
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.operators import blocks, convert, documents, relations
+from scriptorium.operators.align import common
 from scriptorium.plans import catalog, synth
 from tests.test_trees import TEXT
 
@@ -121,3 +123,20 @@ def test_usx_and_back_is_one_pass(spark, docs, name):
     assert passes_of(catalog.queries()[name](spark, "/root/testdata/sf0.001")) == 1
     usx = documents.to_usx(docs)
     assert same_rows(documents.through_usx(docs), documents.from_usx(usx)) and same_rows(documents.usj_through_usx(docs), documents.usx_to_usj(usx))
+
+
+def test_alignment_of_large_blocks_takes_bits_and_not_lists():
+    rng = random.Random(9)
+    a, b = ([rng.randrange(40) for _ in range(1200)] for _ in range(2))
+    tracemalloc.start()
+    pairs = common(a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2e6 and all(a[i] == b[j] for i, j in pairs) and pairs == sorted(pairs) and len(pairs) > 200
+
+
+def test_blocks_are_aligned_in_the_pass_that_finds_them(spark):
+    pairs = spark.createDataFrame([(k, TEXT, TEXT.replace("One", "ONE").replace("line", "a line")) for k in range(3)], "doc_id long, baseline string, current string")
+    got, apart = documents.aligned_pairs(pairs), documents.aligned(relations.block_diff(pairs))
+    assert passes_of(got) == passes_of(catalog.queries()["token_alignment"](spark, "/root/testdata/sf0.001")) == 1
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, apart.collect())) and got.count() > 0
