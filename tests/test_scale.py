@@ -6,7 +6,7 @@ import tracemalloc
 import pytest
 from pyspark.sql import functions as F
 
-from scriptorium.operators import blocks, convert, documents, relations
+from scriptorium.operators import blocks, convert, documents, formatting, relations
 from scriptorium.operators.align import common
 from scriptorium.plans import catalog, synth
 from tests.test_trees import TEXT
@@ -140,3 +140,9 @@ def test_blocks_are_aligned_in_the_pass_that_finds_them(spark):
     got, apart = documents.aligned_pairs(pairs), documents.aligned(relations.block_diff(pairs))
     assert passes_of(got) == passes_of(catalog.queries()["token_alignment"](spark, "/root/testdata/sf0.001")) == 1
     assert sorted(map(repr, got.collect())) == sorted(map(repr, apart.collect())) and got.count() > 0
+
+
+def test_formatting_keeps_small_pieces_and_the_same_texts():
+    assert not hasattr(formatting.Piece("Text", "x"), "__dict__")
+    source = "\\p   a \t b\n\\v 1 1 x\n\\v 2\n\\cl l\n\\c 2 \\p\\b\n\\q1\n\\nd n\\nd*word"
+    assert formatting.format_usfm(source) == "\\p\n a b \\v 1  x \\v 2\n\\c 2\n\\cl l\n \n\\p\n\\b\n\\q1\n\\nd n\\nd*word"
