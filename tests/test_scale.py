@@ -146,3 +146,18 @@ def test_formatting_keeps_small_pieces_and_the_same_texts():
     assert not hasattr(formatting.Piece("Text", "x"), "__dict__")
     source = "\\p   a \t b\n\\v 1 1 x\n\\v 2\n\\cl l\n\\c 2 \\p\\b\n\\q1\n\\nd n\\nd*word"
     assert formatting.format_usfm(source) == "\\p\n a b \\v 1  x \\v 2\n\\c 2\n\\cl l\n \n\\p\n\\b\n\\q1\n\\nd n\\nd*word"
+
+
+def test_chapters_of_a_diff_are_not_copied_for_each_chapter(monkeypatch):
+    a = [(f"{book} {c}:1", f"{book}-{c}", "old") for book in ("GEN", "EXO") for c in range(1, 40)]
+    b = [(sid, id_, "new") for sid, id_, _ in a]
+    monkeypatch.setattr(blocks, "replaced", None)
+    got = blocks.by_chapter(blocks.of_tokens(a), blocks.of_tokens(b))
+    assert list(got) == ["EXO", "GEN"] and list(got["GEN"]) == list(range(1, 40)) and all(d.status == "Modified" for d in blocks.flattened(got))
+
+
+def test_unchanged_blocks_are_stripped_of_markers_once(monkeypatch):
+    one, seen = blocks.of_tokens([("GEN 1:1", "GEN-1", "\\p  a\tb ")]), []
+    plain = blocks.plain
+    monkeypatch.setattr(blocks, "plain", lambda text: seen.append(text) or plain(text))
+    assert blocks.diff(one, one)[0].current_text_only == "a b" and len(seen) == 1
